@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import bpe, quality, secrets, sharding, topk
+from tidelog.llm import bpe, jaccard, quality, secrets, sharding, topk
 
 SHARDS = 40
 TOKENIZER = "word_bpe_49k.json"
@@ -30,6 +30,12 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under Jaccard similarity 0.9 or more of 3-word shingles."""
+    groups = jaccard.jaccard_groups(table(spark, sf_dir, "documents"), jaccard.Similarity(k=3, num=9, den=10))
+    return groups.select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op6_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality verdicts of all documents, thresholds by language and source."""
     return quality.quality_rules(table(spark, sf_dir, "documents"))
@@ -51,6 +57,7 @@ QUERIES = {
     for f in (
         op1_jump_sharding,
         op4_exact_top_k,
+        op5_ngram_jaccard_join,
         op6_adaptive_quality,
         op8_boundary_bpe,
         op10_secret_scan,
