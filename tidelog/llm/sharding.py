@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tidelog.llm.common import staged
+
 #: The multiplier of the published algorithm's 64-bit linear congruential generator (fixed value).
 MULTIPLIER = 2862933555777941757
 MASK = (1 << 32) - 1
@@ -104,6 +106,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, slot_buckets: int = 64) -
     _, lo = key_words("doc_id")
     rows = with_shard(rows, ["doc_id"], shards, "shard", "grown_shard")
     rows = rows.withColumn("bucket", F.pmod(lo + F.col("text_crc32") + F.col("size"), F.lit(slot_buckets)).cast("int"))
+    rows = staged(rows, "shards")  # some tens of bytes a row, so that texts are read once
 
     sums = rows.groupBy("shard", "bucket").agg(F.sum("copies").alias("in_bucket"))
     earlier = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
