@@ -43,6 +43,28 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def filter_bits(rows: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bit for each value of the upper `bits` bits of a long column: which of them occur.
+
+    Its size is fixed. However many values there are, it only ever lets too much through, so what
+    passes must still be joined exactly.
+    """
+    place = F.shiftrightunsigned(F.col(column), 64 - bits)
+    blocks = rows.groupBy(F.shiftright(place, 15).alias("block")).agg(
+        F.bitmap_construct_agg(place.bitwiseAND(F.lit(0x7FFF))).alias("bits")
+    )
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for block, part in blocks.toLocalIterator():
+        out[block << 12 : (block + 1) << 12] = np.frombuffer(bytes(part), np.uint8)
+    return out
+
+
+def may_hold(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of the long values have their bit set."""
+    place = values.view(np.uint64) >> np.uint64(64 - (len(bits).bit_length() + 2))
+    return (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
 # 64-bit mixing constants (fixed values of the public splitmix64 finaliser)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import WordHashes, mix64, shingle_set, staged
+from tidelog.llm.common import WordHashes, filter_bits, may_hold, mix64, shingle_set, staged
 from tidelog.llm.graph import components
 
 ORDERS = 3
@@ -113,26 +113,13 @@ def _sets(batches: Iterator[pa.RecordBatch], sim: Similarity, wanted) -> Iterato
     """The sets of the documents whose text hash may be wanted."""
     hashes, bits = WordHashes(), wanted.value
     for whole in batches:
-        place = whole.column("text_hash").to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)
-        hit = np.flatnonzero(bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+        hit = np.flatnonzero(may_hold(bits, whole.column("text_hash").to_numpy()))
         for start in range(0, len(hit), 256):
             batch = whole.take(pa.array(hit[start : start + 256]))
             sets = [shingle_set(t, sim.k, hashes).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "tokens": pa.array(sets, pa.binary())})
 
 
-def _filter_bits(wanted: DataFrame) -> np.ndarray:
-    """A bit for each value of a text hash's upper FILTER_BITS bits: a fixed size, set bits only let more through."""
-    place = F.shiftrightunsigned(F.col("text_hash"), 64 - FILTER_BITS)
-    blocks = wanted.groupBy(F.shiftright(place, 15).alias("block")).agg(
-        F.bitmap_construct_agg(place.bitwiseAND(F.lit(0x7FFF))).alias("bits")
-    )
-    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for block, part in blocks.toLocalIterator():
-        bits[block << 12 : (block + 1) << 12] = np.frombuffer(bytes(part), np.uint8)
-    return bits
-
-
 def _needed(na: np.ndarray, nb: np.ndarray, sim: Similarity) -> np.ndarray:
     """The least overlap of linked sets of these sizes."""
     return -(-(na[:, None] + nb[None, :]) * sim.num // (sim.num + sim.den))
@@ -375,7 +362,7 @@ def jaccard_groups(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame
     members = clusters.unionAll(clusters.select(F.col("root").alias("node"), "root")).distinct()
     members = members.select(F.col("node").alias("sid"), F.col("root").alias("cluster"))
     chosen = staged(members.join(classes, "sid"), "clusters")
-    wanted = spark.sparkContext.broadcast(_filter_bits(chosen))
+    wanted = spark.sparkContext.broadcast(filter_bits(chosen, "text_hash", FILTER_BITS))
     sets = docs.select("doc_id", "text_hash", "text").mapInArrow(
         lambda it: _sets(it, sim, wanted), f"doc_id {id_type}, text_hash long, tokens binary"
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import bpe, jaccard, quality, secrets, sharding, topk
+from tidelog.llm import bpe, jaccard, quality, secrets, sharding, suffix, topk
 
 SHARDS = 40
 TOKENIZER = "word_bpe_49k.json"
@@ -41,6 +41,11 @@ def op6_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 400-byte strings that occur elsewhere too."""
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"), length=400, full=False)
+
+
 def op8_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's token ids and of what they decode to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -59,6 +64,7 @@ QUERIES = {
         op4_exact_top_k,
         op5_ngram_jaccard_join,
         op6_adaptive_quality,
+        op7_suffix_array_dedup,
         op8_boundary_bpe,
         op10_secret_scan,
     )
