@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidelog.llm import quality, sharding
+from tidelog.llm import linededup, quality, sharding
 
 #: A table of CRC-32 remainders by rule: eight steps of the reflected polynomial 0xEDB88320.
 _CRC = """
@@ -39,6 +39,23 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard,
 FROM placed
 """
 
+OP3 = f"""
+WITH lines AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS place
+  FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+placed AS (
+  SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id, text ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s,
+    count(*) OVER (PARTITION BY doc_id, text) AS n FROM lines),
+plain AS (SELECT *, trim(regexp_replace(lower(line), '\\s+', ' ', 'g')) AS u FROM placed),
+ranked AS (
+  SELECT *, len(string_split(u, ' ')) >= {linededup.MIN_WORDS}
+    AND row_number() OVER (PARTITION BY u ORDER BY doc_id NULLS LAST, place) > 1 AS gone FROM plain)
+SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE max(n) END AS n_units, count(*) FILTER (WHERE gone) AS n_removed,
+  coalesce(string_agg(s || ':' || (s + length(line)), ',' ORDER BY place) FILTER (WHERE gone), '') AS removed,
+  sha256(coalesce(string_agg(CASE WHEN place + 1 < n THEN line || chr(10) ELSE line END, '' ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM ranked GROUP BY doc_id, text
+"""
+
 OP4 = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
@@ -101,4 +118,4 @@ FROM counts c LEFT JOIN bad b ON c.doc_id = b.doc_id
 
 
 OP6 = _op6()
-ORACLES = {"op1_jump_sharding": OP1, "op4_exact_top_k": OP4, "op6_adaptive_quality": OP6}
+ORACLES = {"op1_jump_sharding": OP1, "op3_line_dedup": OP3, "op4_exact_top_k": OP4, "op6_adaptive_quality": OP6}
