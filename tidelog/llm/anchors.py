@@ -10,35 +10,16 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from tidelog.llm.common import mix64
+from tidelog.llm.common import mix64, prefix_sums
 
 #: Window starts that are handled at once; longer texts go in pieces.
 PIECE = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64."""
-    size = 1 << max(12, (n - 1).bit_length())
-    if size not in _powers:
-        with np.errstate(over="ignore"):
-            tables = []
-            for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-                steps = np.full(size, base, np.uint64)
-                steps[0] = 1
-                tables.append(np.multiply.accumulate(steps))
-        _powers.clear()
-        _powers[size] = (tables[0], tables[1])
-    return _powers[size]
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     """A 64-bit hash of the `gram` bytes from each place on."""
-    power, inverse = _power_tables(len(data))
+    sums, inverse = prefix_sums(data)
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(data.astype(np.uint64) * power[: len(data)] + power[: len(data)], out=sums[1:])
         return mix64((sums[gram:] - sums[:-gram]) * inverse[: len(data) - gram + 1])
 
 
@@ -86,7 +67,8 @@ def anchors(text: bytes, length: int, gram: int) -> list[tuple[int, int, int, in
         piece = text[start : start + PIECE + length - 1]
         hashes = gram_hashes(np.frombuffer(piece, np.uint8), gram)
         places, firsts, lasts = owned_starts(hashes, length - gram + 1)
-        for h, place, first, last in zip(hashes[places].view(np.int64).tolist(), places.tolist(), firsts.tolist(), lasts.tolist(), strict=True):
+        # the least of many hashes is small: spread again, so that its upper bits tell anchors apart
+        for h, place, first, last in zip(mix64(hashes[places]).view(np.int64).tolist(), places.tolist(), firsts.tolist(), lasts.tolist(), strict=True):
             context = xxhash.xxh3_64_intdigest(piece[first : last + length], place - first)
             out.append((h, context - (context >> 63 << 64), start + place, start + first, start + last))
     return out

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +60,28 @@ def filter_bits(rows: DataFrame, column: str, bits: int) -> np.ndarray:
     return out
 
 
+def with_row_info(docs: DataFrame, info: DataFrame, column: str, bits: int = 26) -> DataFrame:
+    """docs (doc_id, text, text_hash, ...) with info's column by (doc_id, text_hash), or by text_hash if info has no doc_id.
+
+    It is null where there is none. Only texts that may have info are shuffled; a filter of a fixed
+    size finds them. doc_id may be null.
+    """
+    has = docs.sparkSession.sparkContext.broadcast(filter_bits(info, "text_hash", bits))
+
+    def part(it, hit: bool):
+        for batch in it:
+            yield batch.filter(pa.array(may_hold(has.value, batch.column("text_hash").to_numpy()) == hit))
+
+    plain = docs.mapInArrow(lambda it: part(it, False), docs.schema).withColumn(column, F.lit(None).cast(info.schema[column].dataType))
+    found = docs.mapInArrow(lambda it: part(it, True), docs.schema)
+    by_id = "doc_id" in info.columns
+    right = info.select(F.col("doc_id" if by_id else "text_hash").alias("__id"), F.col("text_hash").alias("__hash"), column)
+    same = F.col("text_hash") == F.col("__hash")
+    if by_id:
+        same &= F.col("doc_id").eqNullSafe(F.col("__id"))
+    return plain.unionByName(found.join(right, same, "left").drop("__id", "__hash"))
+
+
 def may_hold(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Which of the long values have their bit set."""
     place = values.view(np.uint64) >> np.uint64(64 - (len(bits).bit_length() + 2))
@@ -78,33 +101,84 @@ def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words; forgets all when it holds too many."""
-
-    LIMIT = 500_000
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+#: ASCII white space, which ends words.
+_SPACE = np.zeros(256, bool)
+_SPACE[[*range(9, 14), 32]] = True
+#: Bytes of a text whose words are hashed at once.
+_PIECE = 4 << 20
+_BASE = 0x9E3779B97F4A7C15 | 1
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2^64, at least n of each."""
+    size = 1 << max(12, (n - 1).bit_length())
+    if size not in _powers:
+        with np.errstate(over="ignore"):
+            tables = []
+            for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+                steps = np.full(size, base, np.uint64)
+                steps[0] = 1
+                tables.append(np.multiply.accumulate(steps))
+        _powers.clear()
+        _powers[size] = (tables[0], tables[1])
+    return _powers[size]
+
+
+def prefix_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, inverse): a stretch [a, b) of the bytes hashes to (sums[b] - sums[a]) * inverse[a], wherever it lies."""
+    power, inverse = power_tables(max(1, len(data)))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
+    return sums, inverse
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of the words, which are maximal runs without ASCII white space."""
+    found, at = [], 0
+    while at < len(text):
+        stop = at + _PIECE
+        if stop < len(text) and (space := _next_space(text, stop)) >= 0:
+            stop = space
+        else:
+            stop = len(text)
+        data = np.frombuffer(text[at:stop], np.uint8)
+        edges = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[data], [True]]).view(np.int8)))
+        starts, ends = edges[::2], edges[1::2]
+        sums, inverse = prefix_sums(data)
+        with np.errstate(over="ignore"):
+            found.append(mix64((sums[ends] - sums[starts]) * inverse[starts]))
+        at = stop
+    return np.concatenate(found) if found else np.empty(0, np.uint64)
+
+
+def _next_space(text: bytes, at: int) -> int:
+    places = [p for c in b" \t\n\x0b\x0c\r" if (p := text.find(bytes([c]), at)) >= 0]
+    return min(places, default=-1)
+
+
+def shingles(text: str | None, k: int) -> np.ndarray:
+    """64-bit hashes of the text's k-word shingles, in order.
+
+    A-Z count as lower case. A text of fewer than k words has its whole sequence as its one
+    shingle; without words there is none.
+    """
+    h = word_hashes((text or "").encode("utf-8", "surrogatepass").lower())
+    if not len(h):
         return h
+    size = min(k, len(h))
+    n = len(h) - size + 1
+    out = h[:n].copy()
+    with np.errstate(over="ignore"):
+        for i in range(1, size):
+            out *= np.uint64(0xBF58476D1CE4E5B9)
+            out ^= out >> np.uint64(29)
+            out += h[i : i + n]
+    return mix64(out, size)
 
 
-def shingle_set(text: str | None, k: int, hashes: WordHashes) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of the text's k-word shingles.
-
-    Words are maximal runs without ASCII white space, A-Z lower-cased. A text of fewer than k words
-    has its whole sequence as its one shingle; without words the set is empty.
-    """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    size = min(k, len(words))
-    n = len(words) - size + 1
-    out = np.full(n, size, np.uint64)
-    for i in range(size):
-        out = mix64(out ^ h[i : i + n], i)
-    return np.unique(out)
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    """The sorted distinct hashes of the text's shingles."""
+    h = np.sort(shingles(text, k))
+    return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h

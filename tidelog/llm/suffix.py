@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.anchors import anchors
-from tidelog.llm.common import filter_bits, may_hold, staged
+from tidelog.llm.common import filter_bits, may_hold, staged, with_row_info
 
-LENGTH, GRAM = 400, 200
+LENGTH = 400
 #: Bits of the filters of anchor and text hashes.
 FILTER_BITS = 26
 #: Distinct contexts of a key that one sorter takes, and the bytes of suffixes that it sorts at a time.
-MOST_CONTEXTS, BLOCK_BYTES = 2048, 2 << 20
+MOST_CONTEXTS, BLOCK_BYTES = 2048, 1 << 20
 #: Widths of the finer cuts.
 CUTS = (16, 1)
 
@@ -137,13 +137,17 @@ def _hashed(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterat
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int, repeated, mixed) -> Iterator[pa.RecordBatch]:
-    """Anchors whose hash may repeat; those whose contexts may differ come with the text, once for each task."""
+    """Anchors whose hash may repeat; those whose contexts may differ come with the content, once for each task.
+
+    h is the anchor's hash, c its context's; span holds the first start in the upper and the last in the lower half.
+    """
     repeated, mixed, sent = repeated.value, mixed.value, set()
+    names = ("text_hash", "h", "c", "span", "place", "content")
     for whole in batches:
-        for at in range(0, whole.num_rows, 256):
-            batch = whole.slice(at, 256)
-            out: list[list] = [[] for _ in range(8)]
-            for doc_id, text_hash, t in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text")], strict=True):
+        for at in range(0, whole.num_rows, 128):
+            batch = whole.slice(at, 128)
+            out: list[list] = [[] for _ in names]
+            for text_hash, t in zip(*[batch.column(c).to_pylist() for c in ("text_hash", "text")], strict=True):
                 data = t.encode()
                 found = anchors(data, length, gram)
                 if not found:
@@ -154,14 +158,13 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int, repeate
                     h, c, place, first, last = found[i]
                     content = None
                     if differs[i] and (h, c) not in sent:
-                        if len(sent) >= 500_000:
+                        if len(sent) >= 100_000:
                             sent.clear()
                         sent.add((h, c))
                         content = data[first : last + length]
-                    for column, value in zip(out, (doc_id, text_hash, h, c, first, last, place - first, content), strict=True):
+                    for column, value in zip(out, (text_hash, h, c, first << 32 | last, place - first if content else None, content), strict=True):
                         column.append(value)
-            names = ("doc_id", "text_hash", "h", "c", "first", "last", "place", "content")
-            kinds = (batch.schema.field("doc_id").type, *[pa.int64()] * 6, pa.binary())
+            kinds = (*[pa.int64()] * 5, pa.binary())
             yield pa.RecordBatch.from_pydict({n: pa.array(v, k) for n, v, k in zip(names, out, kinds, strict=True)})
 
 
@@ -224,7 +227,7 @@ def _kept(batches: Iterator[pa.RecordBatch], length: int, full: bool) -> Iterato
             out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "spans": [], "kept": []}
             for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
                 data, spans = text.encode(), []
-                for r in sorted((r["s"], r["e"] + length) for r in ranges or ()):
+                for r in sorted((r >> 32, (r & 0xFFFFFFFF) + length) for r in ranges or ()):
                     if spans and r[0] <= spans[-1][1]:
                         spans[-1][1] = max(spans[-1][1], r[1])
                     else:
@@ -255,12 +258,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int | None = Non
     Every byte goes that a string of `length` bytes covers which also starts anywhere else, in the
     same text or another. Spans are the maximal removed runs, as offsets in the UTF-8 bytes, end
     exclusive; kept is the rest, concatenated. Null and shorter texts lose nothing. Repeated rows
-    are texts each, and repeat each other; rows equal in doc_id and text get equal results. Any
-    doc_id may be null. An empty table gives an empty result; other columns of docs are ignored.
+    are texts each, and repeat each other; equal texts get equal results. Any doc_id may be null. An
+    empty table gives an empty result; other columns of docs are ignored. Texts are told apart by
+    a 64-bit hash, and may have up to 2^31 bytes.
     """
-    gram = gram or length // 2
+    gram = gram or max(1, length // 4)
     spark = docs.sparkSession
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text", F.octet_length("text")))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     long_enough = docs.where(F.octet_length("text") >= length)
 
@@ -271,11 +275,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int | None = Non
     share = spark.sparkContext.broadcast
     repeated, mixed = share(filter_bits(seen, "h", FILTER_BITS)), share(filter_bits(seen.where("mixed"), "h", FILTER_BITS))
 
-    names = ("h", "c", "first", "last", "place")
-    schema = f"doc_id {id_type}, text_hash long, {', '.join(f'{n} long' for n in names)}, content binary"
-    found = staged(
-        long_enough.select("doc_id", "text_hash", "text").mapInArrow(lambda it: _contexts(it, length, gram, repeated, mixed), schema), "contexts"
-    )
+    schema = "text_hash long, h long, c long, span long, place long, content binary"
+    found = staged(long_enough.select("text_hash", "text").mapInArrow(lambda it: _contexts(it, length, gram, repeated, mixed), schema), "contexts")
     counts = staged(found.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n")), "counts")
     per_hash = counts.groupBy("h").agg(F.count(F.lit(1)).alias("distinct")).where(F.col("distinct") > 1)
     texts = found.where(F.col("content").isNotNull()).select("h", "c", "place", "content").dropDuplicates(["h", "c"])
@@ -310,27 +311,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int | None = Non
     within = results[0]
     for more in results[1:]:
         within = within.unionByName(more)
-    places = found.select("doc_id", "text_hash", "h", "c", "first", "last")
-    twice = places.join(counts.where("n > 1").select("h", "c"), ["h", "c"]).select("doc_id", "text_hash", F.col("first").alias("s"), F.col("last").alias("e"))
-    inside = places.join(within, ["h", "c"]).select("doc_id", "text_hash", (F.col("first") + F.col("r0")).alias("s"), (F.col("first") + F.col("r1")).alias("e"))
-    per_text = twice.unionByName(inside).distinct().groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
+    # a context that occurs twice is one range, the others have those that were found inside
+    twice = counts.where("n > 1").select("h", "c", F.lit(0).cast("long").alias("r0"), F.lit(None).cast("long").alias("r1"))
+    once = within.join(counts.where("n = 1").select("h", "c"), ["h", "c"], "left_semi")
+    places = found.select("text_hash", "h", "c", "span").join(twice.unionByName(once), ["h", "c"])
+    first, last = F.shiftright("span", 32), F.col("span").bitwiseAND(F.lit(0xFFFFFFFF))
+    start = first + F.col("r0")
+    ranges = F.shiftleft(start, 32).bitwiseOR(F.coalesce(first + F.col("r1"), last))
+    per_text = places.select("text_hash", ranges.alias("range")).groupBy("text_hash").agg(F.collect_set("range").alias("ranges"))
     per_text = staged(per_text, "ranges")
 
-    # texts without ranges are not shuffled
-    has = share(filter_bits(per_text, "text_hash", FILTER_BITS))
-    range_type = "array<struct<s:long,e:long>>"
     out = f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     out += ", spans array<struct<start:long,end:long>>, kept binary" if full else ""
-
-    def split(it: Iterator[pa.RecordBatch], hit: bool) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            chosen = may_hold(has.value, batch.column("text_hash").to_numpy()) == hit
-            yield batch.filter(pa.array(chosen))
-
-    base = f"doc_id {id_type}, text string, text_hash long"
-    plain = docs.mapInArrow(lambda it: split(it, False), base).withColumn("ranges", F.lit(None).cast(range_type))
-    hit = docs.mapInArrow(lambda it: split(it, True), base)
-    right = per_text.withColumnsRenamed({"doc_id": "r_doc_id", "text_hash": "r_text_hash"})
-    same = F.col("doc_id").eqNullSafe(F.col("r_doc_id")) & (F.col("text_hash") == F.col("r_text_hash"))
-    hit = hit.join(right, same, "left").select("doc_id", "text", "text_hash", "ranges")
-    return plain.unionByName(hit).select("doc_id", "text", "ranges").mapInArrow(lambda it: _kept(it, length, full), out)
+    told = with_row_info(docs, per_text, "ranges")
+    return told.select("doc_id", "text", "ranges").mapInArrow(lambda it: _kept(it, length, full), out)
