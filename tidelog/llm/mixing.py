@@ -25,24 +25,30 @@ from tidelog.llm.common import mix64, staged, word_hashes
 #: Buckets of the hashed words, and the classifier's sample: labelled rows of each domain, least hashes first.
 BUCKETS, SAMPLE = 1 << 17, 1500
 DOMAINS = 32
-STEPS, RATE, DECAY = 300, 0.5, 1e-4
+STEPS, RATE, DECAY = 400, 0.5, 1e-3
 #: Iterations of the fit, and the residual (as a share of all tokens) at which it ends.
 ITERATIONS, TOLERANCE = 25, 1e-6
 MILLION = 1_000_000
 _MARKS = re.compile(rb"[!-/:-@\[-`{-~]+")
-#: Shape features besides the words: a constant, and five shares of a text's bytes.
-SHAPES = 6
+#: Shape features besides the words: a constant, five shares of a text's bytes, its repeated words and lines, its shortness.
+SHAPES = 9
+#: Words that the classifier uses stand in at least LEAST sample rows and set some domain apart by ASSOCIATED standard errors.
+LEAST, ASSOCIATED = 5, 5.0
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the distinct words, marks not counting as parts of them, and the shape features."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = word_hashes(_MARKS.sub(b" ", raw.lower()))
+    distinct = np.unique((mix64(words) % np.uint64(BUCKETS)).astype(np.int32))
     data = np.frombuffer(raw, np.uint8)
     share = lambda *codes: float(np.isin(data, codes).mean()) if len(data) else 0.0
     upper = float(((data >= 65) & (data <= 90)).mean()) if len(data) else 0.0
-    shapes = np.array([1.0, 4 * upper, 10 * share(*b"!"), 10 * share(*b"|"), 10 * share(*b"#*$%&<>"), 10 * share(*b"0123456789")])
-    return np.unique((mix64(words) % np.uint64(BUCKETS)).astype(np.int32)), shapes
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    again = 1 - len(set(lines)) / len(lines) if lines else 0.0
+    repeated = 1 - len(distinct) / len(words) if len(words) else 0.0
+    marks = [10 * share(*m) for m in (b"!", b"|", b"#*$%&<>", b"0123456789")]
+    return distinct, np.array([1.0, 4 * upper, *marks, 4 * again, 2 * repeated, 20 / (10 + len(words))])
 
 
 @dataclass
@@ -103,12 +109,25 @@ def fit_domains(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Dom
     return DomainModel(domains, *_descend(y, owner, word, shape, len(domains), np.array([counts[d] for d in domains], np.float64)))
 
 
+def _telling(y, owner, word, k: int) -> np.ndarray:
+    """Which word buckets set some domain's rows apart from the others'; all other words are left to chance."""
+    rows = np.bincount(y, minlength=k)[:, None].astype(np.float64)
+    within = np.stack([np.bincount(word[y[owner] == d], minlength=BUCKETS) for d in range(k)])
+    total = within.sum(axis=0)
+    inside, outside = (within + 0.5) / (rows + 1), (total - within + 0.5) / (len(y) - rows + 1)
+    share = np.clip(total / len(y), 1e-9, 1 - 1e-9)
+    error = np.sqrt(share * (1 - share) * (1 / np.maximum(rows, 1) + 1 / np.maximum(len(y) - rows, 1)))
+    return (total >= LEAST) & ((np.abs(inside - outside) / error).max(axis=0) >= ASSOCIATED)
+
+
 def _descend(y, owner, word, shape, k: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Softmax regression by gradient descent with steps scaled to how often each feature occurs."""
     n = len(y)
     # a row's weight makes the sample's domains as common as they are among all labels
     weight = (counts / counts.sum())[y] / np.bincount(y, minlength=k)[y]
-    used, word = np.unique(word, return_inverse=True)
+    chosen = _telling(y, owner, word, k)[word]
+    owner = owner[chosen]
+    used, word = np.unique(word[chosen], return_inverse=True)
     words, shapes = np.zeros((k, len(used))), np.zeros((k, shape.shape[1]))
     target = np.eye(k)[y]
     often = np.bincount(word, weights=weight[owner], minlength=len(used)) + 10.0 / n
