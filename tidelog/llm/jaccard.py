@@ -28,18 +28,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import WordHashes, filter_bits, may_hold, mix64, shingle_set, staged
+from tidelog.llm.common import filter_bits, may_hold, mix64, shingle_set, shingles, staged
 from tidelog.llm.graph import components
 
 ORDERS = 3
 #: Counters of the frequency sketch: a fixed size, whatever the data's.
 SKETCH_BITS = 18
 #: Posting lists up to this length are joined with themselves.
-SHORT_LIST = 16
+SHORT_LIST = 32
 #: Classes in one side of a tile.
 TILE = 512
 #: Bits of the filter that keeps the texts of classes without candidates from being shuffled.
 FILTER_BITS = 24
+#: Bits of the filter of shingles that were posted more than once; it goes by their lower bits.
+POSTING_BITS = 27
 
 
 @dataclass(frozen=True)
@@ -54,17 +56,29 @@ class Similarity:
         return n + (-self.num * n // self.den) + 1
 
 
-def _order_keys(tokens: np.ndarray, levels: np.ndarray, order: int) -> np.ndarray:
-    """Sort keys of one global order: how common a token is by the sketch, then its hash; ties go by the token."""
-    return levels[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] | (mix64(tokens, 10 + order) >> np.uint64(16))
+def _prefix(tokens: np.ndarray, size: int, levels: np.ndarray, order: int) -> np.ndarray:
+    """The first `size` tokens of one global order: by how common the sketch holds them, then by hash, then by token."""
+    keys = levels[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] | (mix64(tokens, 10 + order) >> np.uint64(16))
+    last = np.partition(keys, size - 1)[size - 1]
+    first = tokens[keys < last]
+    return np.concatenate([first, np.sort(tokens[keys == last])[: size - len(first)]])
+
+
+def _prefixes(tokens: np.ndarray, sim: Similarity, levels: np.ndarray) -> list[np.ndarray]:
+    """The set's prefix under each order; those of the later ones are only counted for an upper bound, so 32 bits do."""
+    size = sim.prefix(len(tokens)) if len(tokens) else 0
+    if not size:
+        return [tokens.view(np.int64), *[np.empty(0, np.int32)] * (ORDERS - 1)]
+    first, *others = (_prefix(tokens, size, levels, order) for order in range(ORDERS))
+    return [first.view(np.int64), *((mix64(x, 20) >> np.uint64(32)).astype(np.uint32).view(np.int32) for x in others)]
 
 
 def _counted(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    hashes, counts = WordHashes(), np.zeros(1 << SKETCH_BITS, np.int64)
+    counts = np.zeros(1 << SKETCH_BITS, np.int64)
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            tokens = shingle_set(text, k, hashes)
-            np.add.at(counts, (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+        for at in range(0, batch.num_rows, 512):
+            found = [shingles(t, k) for t in batch.column(0).slice(at, 512).to_pylist()]
+            counts += np.bincount((np.concatenate(found) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
     at = np.flatnonzero(counts)
     for part in np.array_split(at, max(1, len(at) // 65536)):
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(part, pa.int32()), "n": pa.array(counts[part], pa.int64())})
@@ -89,35 +103,40 @@ def _class_of(tokens: np.ndarray) -> np.int64:
 
 
 def _featured(batches: Iterator[pa.RecordBatch], sim: Similarity, levels) -> Iterator[pa.RecordBatch]:
-    hashes, levels = WordHashes(), levels.value
+    levels = levels.value
     for whole in batches:
         for start in range(0, whole.num_rows, 512):
             batch = whole.slice(start, 512)
             n, sid, prefixes = [], [], [[] for _ in range(ORDERS)]
             for text in batch.column("text").to_pylist():
-                tokens = shingle_set(text, sim.k, hashes)
+                tokens = shingle_set(text, sim.k)
                 n.append(len(tokens))
                 sid.append(_class_of(tokens))
-                size = sim.prefix(len(tokens)) if len(tokens) else 0
-                for order, out in enumerate(prefixes):
-                    first = tokens[np.argsort(_order_keys(tokens, levels, order), kind="stable")[:size]]
-                    # the other orders' prefixes are only counted for an upper bound: 32 bits do
-                    out.append(first.view(np.int64) if order == 0 else (mix64(first, 20) >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                for out, prefix in zip(prefixes, _prefixes(tokens, sim, levels), strict=True):
+                    out.append(prefix)
             out = {"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "n": pa.array(n, pa.int64()), "sid": pa.array(sid, pa.int64())}
             for order, lists in enumerate(prefixes):
                 out[f"p{order}"] = pa.array(lists, pa.list_(pa.int64() if order == 0 else pa.int32()))
             yield pa.RecordBatch.from_pydict(out)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], sim: Similarity, wanted) -> Iterator[pa.RecordBatch]:
-    """The sets of the documents whose text hash may be wanted."""
-    hashes, bits = WordHashes(), wanted.value
+def _maybe(batches: Iterator[pa.RecordBatch], column: str, bits) -> Iterator[pa.RecordBatch]:
+    """The rows whose column's bit is set."""
+    for batch in batches:
+        yield batch.filter(pa.array(may_hold(bits.value, batch.column(column).to_numpy())))
+
+
+def _postings(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:
+    """(token, sid, n) of the first prefixes' tokens that may have been posted twice."""
     for whole in batches:
-        hit = np.flatnonzero(may_hold(bits, whole.column("text_hash").to_numpy()))
-        for start in range(0, len(hit), 256):
-            batch = whole.take(pa.array(hit[start : start + 256]))
-            sets = [shingle_set(t, sim.k, hashes).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "tokens": pa.array(sets, pa.binary())})
+        for start in range(0, whole.num_rows, 4096):
+            batch = whole.slice(start, 4096)
+            lists = batch.column("p0")
+            tokens = lists.flatten().to_numpy()
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            hit = may_hold(bits.value, tokens << (64 - POSTING_BITS))
+            owner = pa.array(owner[hit])
+            yield pa.RecordBatch.from_pydict({"token": pa.array(tokens[hit]), "sid": batch.column("sid").take(owner), "n": batch.column("n").take(owner)})
 
 
 def _needed(na: np.ndarray, nb: np.ndarray, sim: Similarity) -> np.ndarray:
@@ -215,31 +234,31 @@ def _candidates(batches: Iterator[pd.DataFrame], sim: Similarity) -> Iterator[pd
         yield pd.DataFrame({"a": x, "b": y})
 
 
-def _verified(batches: Iterator[pd.DataFrame], sim: Similarity) -> Iterator[pd.DataFrame]:
+def _verified(batches: Iterator[pd.DataFrame], sim: Similarity, levels) -> Iterator[pd.DataFrame]:
     """Rows (a, b, links): forest edges have links 0, and each class that links has (a, a, linked documents)."""
     for group in _tile_groups(batches, ["cluster", "tile"]):
         group = group.drop_duplicates(["side", "sid"]).copy()
-        group["tokens"] = [np.frombuffer(x, np.uint64) for x in group["tokens"]]
+        group["tokens"] = [shingle_set(t, sim.k) for t in group.pop("text")]
+        for order, prefixes in enumerate(zip(*[_prefixes(t, sim, levels.value) for t in group["tokens"]], strict=True)):
+            group[f"p{order}"] = list(prefixes)
         same = bool(group["same"].iloc[0])
         a = group[group["side"] == 0]
         b = a if same else group[group["side"] == 1]
         ok = _passes(a, b, sim)
         rows, cols = np.flatnonzero(ok.any(axis=1)), np.flatnonzero(ok.any(axis=0))
-        linked = np.zeros(ok.shape, bool)
-        if len(rows):
-            common = _common([a["tokens"].iloc[i] for i in rows], [b["tokens"].iloc[i] for i in cols]).astype(np.int64)
-            union = a["n"].to_numpy()[rows][:, None] + b["n"].to_numpy()[cols][None, :] - common
-            linked[np.ix_(rows, cols)] = (sim.den * common >= sim.num * union) & ok[np.ix_(rows, cols)]
-        ids_a, ids_b = a["sid"].to_numpy(), b["sid"].to_numpy()
+        if not len(rows):
+            continue
+        common = _common([a["tokens"].iloc[i] for i in rows], [b["tokens"].iloc[i] for i in cols]).astype(np.int64)
+        union = a["n"].to_numpy()[rows][:, None] + b["n"].to_numpy()[cols][None, :] - common
+        linked = (sim.den * common >= sim.num * union) & ok[np.ix_(rows, cols)]
+        ids_a, ids_b = a["sid"].to_numpy()[rows], b["sid"].to_numpy()[cols]
         x, y = _forest(ids_a, ids_b, linked)
-        degree = [(ids_a, linked @ b["copies"].to_numpy())]
+        yield pd.DataFrame({"a": x, "b": y, "links": np.zeros(len(x), np.int64)})
+        degrees = [(ids_a, linked @ b["copies"].to_numpy()[cols])]
         if not same:
-            degree.append((ids_b, a["copies"].to_numpy() @ linked))
-        for ids, links in [(x, y), *degree] if len(x) else []:
-            if ids is x:
-                yield pd.DataFrame({"a": x, "b": y, "links": np.zeros(len(x), np.int64)})
-            else:
-                yield pd.DataFrame({"a": ids, "b": ids, "links": np.asarray(links, np.int64)})[np.asarray(links) > 0]
+            degrees.append((ids_b, a["copies"].to_numpy()[rows] @ linked))
+        for ids, links in degrees:
+            yield pd.DataFrame({"a": ids, "b": ids, "links": links.astype(np.int64)})[links > 0]
 
 
 def _size_bucket(sim: Similarity) -> Column:
@@ -318,16 +337,23 @@ def jaccard_groups(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame
     # one row stands for each class
     some = rows.where("n > 0")
     classes = some.groupBy("sid").agg(
-        F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("row"), F.count(F.lit(1)).alias("copies")
+        F.min("doc_id").alias("least_id"),
+        F.min(F.struct("doc_id", "text_hash")).alias("row"),
+        F.count(F.lit(1)).alias("copies"),
+        F.min("n").alias("n"),
     )
-    classes = staged(classes.select("sid", "least_id", "copies", "row.doc_id", "row.text_hash"), "classes")
-    reps = _row_join(some, classes.select("doc_id", "text_hash"), "left_semi")
-
-    # postings that at least two classes made
-    postings = reps.select("sid", "n", F.explode("p0").alias("token"))
-    shared = postings.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count(F.lit(1)).alias("length"))
-    shared = shared.where("lo <> hi").select("token", "length")
-    listed = staged(postings.join(shared, "token"), "postings")
+    classes = staged(classes.select("sid", "n", "least_id", "copies", "row.doc_id", "row.text_hash"), "classes")
+
+    # postings that at least two classes made: a filter of a fixed size, then exactly
+    share = spark.sparkContext.broadcast
+    place = F.col("token").bitwiseAND(F.lit((1 << POSTING_BITS) - 1)).cast("int")
+    counted = some.select(F.explode("p0").alias("token")).groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("n"))
+    often = counted.where("n > 1").select(F.shiftleft(F.col("place").cast("long"), 64 - POSTING_BITS).alias("token"))
+    often = share(filter_bits(often, "token", POSTING_BITS))
+    postings = some.select("sid", "n", "p0").mapInArrow(lambda it: _postings(it, often), "token long, sid long, n long").distinct()
+    postings = staged(postings, "postings")
+    shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
+    listed = staged(postings.join(shared, "token"), "listed")
 
     # order 1, short lists: the shared postings of a pair are counted
     long_ = listed.where(F.col("length") > SHORT_LIST)
@@ -344,9 +370,17 @@ def jaccard_groups(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame
     rest = F.greatest(F.col("na") - prefix(F.col("na")), F.col("nb") - prefix(F.col("nb")))
     unseen = in_long.select(F.col("sid").alias("a"), "in_long")
     pairs = pairs.join(unseen, "a", "left").where(F.col("shared") + F.coalesce("in_long", F.lit(0)) + rest >= need - 1).drop("in_long")
-
-    # the other orders
-    prefixes = reps.select("sid", "p1", "p2")
+    pairs = staged(pairs, "pairs")
+
+    # the other orders, for the classes that are still in question
+    asked = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select(F.col("b").alias("sid"))).unionAll(long_.select("sid")).distinct()
+    asked = staged(asked, "asked")
+    asked_bits = share(filter_bits(asked, "sid", FILTER_BITS))
+    short_tokens = F.transform("p0", lambda t: t.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))  # counted for a bound only
+    prefixes = some.select("sid", "p0", "p1", "p2").mapInArrow(
+        lambda it: _maybe(it, "sid", asked_bits), "sid long, p0 array<long>, p1 array<int>, p2 array<int>"
+    ).withColumn("p0", short_tokens)
+    prefixes = staged(prefixes.join(asked, "sid", "left_semi").dropDuplicates(["sid"]), "asked-prefixes")
     side = lambda s: prefixes.select(F.col("sid").alias(s), F.col("p1").alias(f"{s}1"), F.col("p2").alias(f"{s}2"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b")
     for order in ("1", "2"):
@@ -354,7 +388,7 @@ def jaccard_groups(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame
         pairs = pairs.where((both > 0) & (both + rest >= need - 1))
 
     # long lists
-    dealt = _tiled(long_.select("token", "sid", "n"), "token", sim).join(reps.select("sid", "p0", "p1", "p2"), "sid")
+    dealt = _tiled(long_.select("token", "sid", "n"), "token", sim).join(prefixes, "sid")
     forest = _in_python(dealt, "token", lambda it: _candidates(it, sim), "a long, b long")
     clusters = components(pairs.select("a", "b").unionAll(forest))
 
@@ -362,14 +396,13 @@ def jaccard_groups(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame
     members = clusters.unionAll(clusters.select(F.col("root").alias("node"), "root")).distinct()
     members = members.select(F.col("node").alias("sid"), F.col("root").alias("cluster"))
     chosen = staged(members.join(classes, "sid"), "clusters")
-    wanted = spark.sparkContext.broadcast(filter_bits(chosen, "text_hash", FILTER_BITS))
-    sets = docs.select("doc_id", "text_hash", "text").mapInArrow(
-        lambda it: _sets(it, sim, wanted), f"doc_id {id_type}, text_hash long, tokens binary"
+    tiles = _tiled(chosen.select("doc_id", "text_hash", "sid", "n", "copies", "cluster"), "cluster", sim)
+    wanted = share(filter_bits(chosen, "text_hash", FILTER_BITS))
+    texts = docs.select("doc_id", "text_hash", "text").mapInArrow(
+        lambda it: _maybe(it, "text_hash", wanted), f"doc_id {id_type}, text_hash long, text string"
     )
-    full = _row_join(sets, chosen.select("doc_id", "text_hash", "sid", "copies", "cluster"), "inner").select("sid", "copies", "cluster", "tokens")
-    full = staged(full.join(reps.select("sid", "n", "p0", "p1", "p2"), "sid").dropDuplicates(["sid"]), "sets")
-    tiles = _tiled(full.select("cluster", "sid", "n"), "cluster", sim).drop("n").join(full.drop("cluster"), "sid")
-    checked = staged(_in_python(tiles, "cluster", lambda it: _verified(it, sim), "a long, b long, links long"), "links")
+    full = _row_join(texts, tiles, "inner").select("sid", "n", "copies", "cluster", "tile", "side", "same", "text")
+    checked = staged(_in_python(full, "cluster", lambda it: _verified(it, sim, levels), "a long, b long, links long"), "links")
 
     # what is linked
     links = checked.where("links > 0").groupBy(F.col("a").alias("sid")).agg(F.sum("links").alias("links"))
