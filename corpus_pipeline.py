@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import bpe, jaccard, langid, mixing, queries, secrets
-from tidelog.llm.common import staged, with_row_info
+from tidelog.llm.common import set_aside, staged, with_row_info
 from tidelog.shipping import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -15,7 +15,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language, or with none that the evidence makes likely, go; the others keep all columns."""
     ship(spark)
-    return langid.identify_documents(docs).where("kept").select(*docs.columns)
+    plain, restore = set_aside(docs, ["doc_id", "text", "lang", "source"])
+    return restore(langid.identify_documents(plain).where("kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,26 +30,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     grouped = staged(groups.select("group_id", "doc_id", "text_hash", rank.alias("rank")).distinct(), "grouped")
     first = grouped.groupBy("group_id").agg(F.min("rank").alias("first"))
     verdicts = grouped.join(first, "group_id").select("doc_id", "text_hash", (F.col("rank") == F.col("first")).alias("stays"))
-    hashed = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    plain, restore = set_aside(docs, ["doc_id", "text"])
+    hashed = plain.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     told = with_row_info(hashed, staged(verdicts, "verdicts"), "stays")
     alone = told.where(F.col("stays").isNull())
     chosen = told.where("stays").dropDuplicates(["doc_id", "text_hash"])
-    return alone.unionByName(chosen).select(*docs.columns)
+    return restore(alone.unionByName(chosen))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts are replaced by marks; n_chars follows the text."""
     ship(spark)
-    cleaned = secrets.scan_documents(docs).withColumnRenamed("redacted", "text")
+    plain, restore = set_aside(docs, ["text", "n_chars"])
+    cleaned = secrets.scan_documents(plain).withColumnRenamed("redacted", "text")
     changed = F.when(F.col("spans") == "", F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cleaned.withColumn("n_chars", changed).select(*docs.columns)
+    return restore(cleaned.withColumn("n_chars", changed))
 
 
 def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are dropped or repeated so that the domains' tokens meet their target shares."""
     ship(spark)
     labels = queries.domain_labels(queries.table(spark, sf_dir, "labels"))
-    return mixing.mixed_documents(docs, labels, queries.SHARES).select(*docs.columns)
+    return mixing.mixed_documents(docs, labels, queries.SHARES)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

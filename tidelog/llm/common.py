@@ -10,10 +10,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of wide binary columns that one Arrow batch may hold.
-SMALL_BATCH = 64
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is configured."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -40,8 +36,17 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def text_or_empty(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
+def set_aside(rows: DataFrame, used: list[str]):
+    """(rows, restore): all columns but the used ones under names that clash with none, and a function that undoes this.
+
+    restore takes a frame that still has these columns and selects the original ones, in order.
+    """
+    names = {c: c if c in used else f"__aside{i}" for i, c in enumerate(rows.columns)}
+
+    def restore(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(hidden).alias(c) for c, hidden in names.items()])
+
+    return rows.toDF(*names.values()), restore
 
 
 def filter_bits(rows: DataFrame, column: str, bits: int) -> np.ndarray:

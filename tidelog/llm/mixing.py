@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import mix64, staged, word_hashes
+from tidelog.llm.common import mix64, set_aside, staged, word_hashes
 
 #: Buckets of the hashed words, and the classifier's sample: labelled rows of each domain, least hashes first.
 BUCKETS, SAMPLE = 1 << 17, 1500
 DOMAINS = 32
 STEPS, RATE, DECAY = 400, 0.5, 1e-3
 #: Iterations of the fit, and the residual (as a share of all tokens) at which it ends.
-ITERATIONS, TOLERANCE = 25, 1e-6
+ITERATIONS, TOLERANCE = 40, 1e-4
 MILLION = 1_000_000
 _MARKS = re.compile(rb"[!-/:-@\[-`{-~]+")
 #: Shape features besides the words: a constant, five shares of a text's bytes, its repeated words and lines, its shortness.
@@ -175,37 +175,49 @@ def rate_column(steps: list[np.ndarray]) -> Column:
 def fit_rates(rows: DataFrame, domains: list[str], shares: dict[str, float]) -> list[np.ndarray]:
     """The steps of projected gradient least squares over rows (n_tokens, membership).
 
-    The objective is half the squared residual in the metric of the memberships' second moments, in
-    which a step of length 1 can't overshoot; each document's step is its gradient divided by its
-    tokens. Domains that shares don't name share what is left of 1 as they do now.
+    Each document's step is its gradient divided by its tokens, in the metric of the second moments of
+    the documents whose rate is not 0, so that a step of length 1 would meet the targets if none were cut at 0. A
+    step that doesn't lessen the residual is taken back and halved. Domains that shares don't name share what is left of
+    1 as they do now. Targets that no rates can meet are approached for ITERATIONS steps; ending
+    there keeps the rates of like documents near each other, where the very optimum would put all
+    weight on a few.
     """
     k = len(domains)
-    p = [F.element_at("membership", i + 1) for i in range(k)]
-    moments = [F.sum(F.col("n_tokens") * p[i] * p[j] / MILLION / MILLION).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)]
-    first = rows.agg(*[F.sum(F.col("n_tokens") * x).cast("double").alias(f"t{i}") for i, x in enumerate(p)], *moments).first()
-    now = np.array([first[f"t{i}"] or 0.0 for i in range(k)]) / MILLION
-    total = now.sum()
+    p = [F.element_at("membership", i + 1) / MILLION for i in range(k)]
+
+    def state(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Expected tokens of the domains, and the second moments of the documents that still have a rate."""
+        rate, n = F.col("rate"), F.col("n_tokens")
+        active = F.when(rate > 0, n).otherwise(0)
+        sums = [F.sum(rate * n * x).alias(f"t{i}") for i, x in enumerate(p)]
+        sums += [F.sum(active * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)]
+        row = rows.withColumn("rate", rate_column(steps)).agg(*sums).first()
+        second = np.array([[row[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
+        return np.array([row[f"t{i}"] or 0.0 for i in range(k)]), second
+
+    mass, second = state([])
+    total = mass.sum()
     if total <= 0:
         return []
     named = {d: max(0.0, shares[d]) for d in domains if d in shares}
-    left, others = max(0.0, 1 - sum(named.values())), sum(now[i] for i, d in enumerate(domains) if d not in named)
-    target = np.array([named[d] if d in named else left * now[i] / others if others else 0.0 for i, d in enumerate(domains)])
-    target *= total / target.sum() if target.sum() else 0.0
-    second = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            second[i, j] = second[j, i] = first[f"m{i}_{j}"] or 0.0
-    inverse = np.linalg.pinv(second, rcond=1e-9)
+    left, others = max(0.0, 1 - sum(named.values())), sum(mass[i] for i, d in enumerate(domains) if d not in named)
+    target = np.array([named[d] if d in named else left * mass[i] / others if others else 0.0 for i, d in enumerate(domains)])
+    if not target.sum():
+        return []
+    target *= total / target.sum()
+    metric, length = np.linalg.pinv(second, rcond=1e-9), 1.0
+    cost = lambda m: float((m - target) @ metric @ (m - target))
     steps: list[np.ndarray] = []
-    mass = now
     for _ in range(ITERATIONS):
-        residual = mass - target
-        if np.abs(residual).max() <= TOLERANCE * total:
+        if np.abs(mass - target).max() <= TOLERANCE * total:
             break
-        steps.append(inverse @ residual)
-        rated = rows.withColumn("rate", rate_column(steps))
-        sums = rated.agg(*[F.sum(F.col("rate") * F.col("n_tokens") * x / MILLION).alias(f"t{i}") for i, x in enumerate(p)]).first()
-        mass = np.array([s or 0.0 for s in sums])
+        step = length * (np.linalg.pinv(second, rcond=1e-6) @ (mass - target))
+        new_mass, new_second = state([*steps, step])
+        if cost(new_mass) < cost(mass):
+            steps.append(step)
+            mass, second, length = new_mass, new_second, min(1.0, 2 * length)
+        else:
+            length /= 2
     return steps
 
 
@@ -235,10 +247,11 @@ def with_copies(rows: DataFrame, steps: list[np.ndarray]) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, shares: dict[str, float], sample: int = SAMPLE) -> DataFrame:
     """docs with each row as often as its copies say; nothing but the rates is fitted beforehand."""
-    model = fit_domains(docs, labels, sample)
+    plain, restore = set_aside(docs, ["doc_id", "text"])
+    model = fit_domains(plain, labels, sample)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keyed = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    keyed = plain.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     rows = staged(memberships(keyed, shared, ["doc_id", "text_hash"]), "memberships")
     steps = fit_rates(rows, model.domains, shares)
     again = with_copies(memberships(keyed, shared, keyed.columns), steps).where("copies > 0")
-    return again.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return restore(again.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))))
