@@ -5,6 +5,7 @@ from __future__ import annotations
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -60,7 +61,7 @@ class HashingEmbedder(Embedder):
 
 
 class NormalisedEmbedder(Embedder):
-    """Another embedder's vectors, scaled to unit length, so that inner products are cosines."""
+    """Another native embedder's vectors, scaled to unit length, so that inner products are cosines."""
 
     def __init__(self, inner: Embedder):
         self.inner, self.dims = inner, inner.dims
@@ -79,13 +80,15 @@ class ModelEmbedder(Embedder):
         self.load, self.dims, self.normalise = load, dims, normalise
 
     def column(self, text: Column) -> Column:
-        load = self.load
+        load, normalise = self.load, self.normalise
 
         @F.pandas_udf("array<float>")
         def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             model = load()
             for texts in batches:
-                yield pd.Series(list(model(texts.fillna("").tolist())))
+                vectors = [np.asarray(v, np.float64) for v in model(texts.fillna("").tolist())]
+                if normalise:
+                    vectors = [v / np.sqrt(v @ v) if v @ v > scalar.FLOAT_EPSILON else v for v in vectors]
+                yield pd.Series([v.astype(np.float32) for v in vectors])
 
-        vectors = embed(text)
-        return F.transform(scalar.normalised(vectors), lambda x: x.cast("float")) if self.normalise else vectors
+        return embed(text)

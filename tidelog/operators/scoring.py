@@ -17,12 +17,13 @@ MOST_QUERIES = 10_000
 
 
 def score(vector: list[float], embedding: str = "embedding", strict: bool = True) -> Column:
-    """The inner product with a vector; another length raises an error if strict, else gives null."""
+    """The inner product with a vector, null for an empty embedding; another length raises an error if strict, else gives null."""
     product = scalar.inner_product(F.col(embedding), scalar.query_vector(vector))
     if not strict:
         return product
     message = F.concat(F.lit(f"embedding has another length than {len(vector)}: "), F.size(embedding).cast("string"))
-    return F.when(F.size(embedding) == len(vector), product).otherwise(F.raise_error(message).cast("double"))
+    # the case for empty ones is here too, as filters may be evaluated in any order
+    return F.when(F.size(embedding) == len(vector), product).when(F.size(embedding) > 0, F.raise_error(message).cast("double"))
 
 
 def matching(records: DataFrame, vector: list[float], threshold: float, strict: bool = True) -> DataFrame:
