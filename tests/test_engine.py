@@ -98,6 +98,9 @@ def test_pruning_loses_nothing(spark, tmp_path):
         assert 0 < count(**f) < count()
         assert s.query(LogQuery("me", ASK, **f)).df.count() == 4
     assert count(agent_id="absent") == 0 and count(session_id="absent") == 0
+    plan = s.query(LogQuery("me", ASK, agent_id="target_agent")).df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "block_id" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "EqualTo(agent_id,target_agent)" in plan and "Exchange" not in plan
     for r in range(1, 7):  # a filter's own members are always candidates
         assert s.query(LogQuery("me", MISS, agent_id=f"other_agent_{r}")).df.count() >= 0
         assert count(agent_id=f"other_agent_{r}") > 0

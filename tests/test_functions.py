@@ -69,6 +69,7 @@ def test_times(spark):
 
 
 def test_text(spark):
+    assert one(spark, scalar.event_text("sealed", block=F.lit(3), gone=F.lit(None).cast("int"), n=F.lit(10))) == "event=sealed block=3 n=10"
     assert one(spark, scalar.trim_ascii(F.lit(" \t\x0b\x0cfv\r\n"))) == "fv"
     assert one(spark, scalar.truncated(F.lit("abcdef"), 3)) == "abc..." and one(spark, scalar.truncated(F.lit("abc"), 3)) == "abc"
     for text in ('```json\n["a"]\n```', " plain ", "```", "```\nx", "``` a\nb ``` c ``` d", "x\n```\ny\n```", "```\n```"):

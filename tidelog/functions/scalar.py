@@ -44,6 +44,12 @@ def joined_parts(parts: Column) -> Column:
     return F.array_join(parts, "\n")
 
 
+def event_text(event: str, **fields: Column) -> Column:
+    """A log line: `event=<name> key=value ...`, in the order given; nulls are left out."""
+    pairs = [F.concat(F.lit(f"{k}="), v.cast("string")) for k, v in fields.items()]
+    return F.concat_ws(" ", F.lit(f"event={event}"), *pairs)
+
+
 # ---- time
 
 
