@@ -53,3 +53,10 @@ def make_folder(spark: SparkSession, path: str) -> None:
 def delete(spark: SparkSession, path: str) -> bool:
     fs, p = _open(spark, path)
     return fs.delete(p, True)
+
+
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Make a folder that goes, with all that is in it, when the driver's JVM ends."""
+    fs, p = _open(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
