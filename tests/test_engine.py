@@ -223,3 +223,31 @@ def test_stream_equals_batch_and_survives_replay(spark, tmp_path):
     assert s.status().first()["total_records"] == 40
     ingest_stream(s, folder_stream(spark, f"file://{source}", 1), f"file://{tmp_path / 'cp'}").awaitTermination(120)
     assert s.status().first()["total_records"] == 40
+
+
+def test_random_filters_equal_a_plain_scan(spark, tmp_path):
+    """Pruning by time and blooms never loses a row, whatever the filters."""
+    rng = random.Random(11)
+    data = [(f"agent_{rng.randrange(9)}", f"session_{rng.randrange(7)}", rng.choice([HIT, MISS]), T0 + timedelta(seconds=rng.randrange(2000))) for _ in range(150)]
+    s = store(spark, tmp_path, size=12)
+    s.store(spark.createDataFrame([(*r, None) for r in data], STORE))
+    s.ingest(70)
+    s.compact()
+    s.ingest_all()  # baked, sealed and active blocks side by side
+    for _ in range(12):
+        f = {}
+        if rng.random() < 0.5:
+            f["agent_id"] = f"agent_{rng.randrange(11)}"
+        if rng.random() < 0.5:
+            f["session_id"] = f"session_{rng.randrange(9)}"
+        if rng.random() < 0.6:
+            f["start_time"] = T0 + timedelta(seconds=rng.randrange(2000))
+        if rng.random() < 0.6:
+            f["end_time"] = T0 + timedelta(seconds=rng.randrange(2000))
+        want = sorted(
+            (a, b, t.replace(tzinfo=None))
+            for a, b, log, t in data
+            if log == HIT and f.get("agent_id", a) == a and f.get("session_id", b) == b and f.get("start_time", t) <= t <= f.get("end_time", t)
+        )
+        got = sorted((r[0], r[1], r[2]) for r in s.query(LogQuery("me", ASK, **f)).df.collect())
+        assert got == want, f

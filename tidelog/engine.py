@@ -68,8 +68,11 @@ class LogStore:
         now = _now()
         active = latest_active(self.manifest.blocks(at)).collect()
         carried = active[0]["record_count"] if active else 0
+        # the active block is filled first; later ones get new ids, which lie beyond those of blocks baked since
         first_block = active[0]["block_id"] if active else at.next_block_id
-        block_id = F.lit(first_block) + op.block_offset(F.col("wal_seq"), at.last_processed_seq, carried, size)
+        new_blocks = at.next_block_id - (1 if active else 0)
+        offset = op.block_offset(F.col("wal_seq"), at.last_processed_seq, carried, size)
+        block_id = F.when(offset == 0, F.lit(first_block)).otherwise(F.lit(new_blocks) + offset)
         self.blocks.write_fresh(op.to_records(rows, self.embedder, block_id), first)
         after = at.fresh_batches + (first,)
         written = self.blocks.read_fresh(type(at)(fresh_batches=(first,)))
@@ -91,7 +94,7 @@ class LogStore:
             F.timestamp_micros(F.lit(now)).alias("created_at"),
         )
         n = upto - first + 1
-        next_block = max(at.next_block_id, first_block + (carried + n - 1) // size + 1)
+        next_block = max(at.next_block_id, new_blocks + (carried + n - 1) // size + 1)
         self.manifest.commit(at, changed, last_processed_seq=upto, next_block_id=next_block, fresh_batches=after, last_ingestion_run=now)
         self.trim_wal()
         return n
