@@ -73,6 +73,14 @@ def test_odd_tables(spark, odd_documents):
     assert mixed_documents(odd_documents, none, {}).columns == odd_documents.columns
 
 
+def test_repeated_ids_do_not_lengthen_the_sample(spark):
+    docs = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("idiot words "), F.col("id") % 3).alias("text"))
+    docs = docs.unionAll(spark.range(2, 60).select(F.col("id"), F.concat(F.lit("plain words "), F.col("id") % 5)))
+    labels = spark.range(1, 60).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 1, "bad").otherwise("good").alias("domain"))
+    model = fit_domains(docs, labels.unionAll(labels))
+    assert model.domains == ["bad", "good"]
+
+
 def test_documents_are_repeated_as_often_as_their_copies(spark):
     docs, labels = tables(spark, "0.001")
     rows, _, _ = mixing(docs, labels, SHARES)

@@ -177,12 +177,12 @@ def fused(model: TextModel, text: str | None, declared: str | None, suffix: str
     return model.languages[best], float(p[best]), n
 
 
-def _judged(batches: Iterator[pa.RecordBatch], model, keep: list[str]) -> Iterator[pa.RecordBatch]:
+def _judged(batches: Iterator[pa.RecordBatch], model, keep: list[str], text: str) -> Iterator[pa.RecordBatch]:
     m = model.value
     for whole in batches:
         for at in range(0, whole.num_rows, 512):
             batch = whole.slice(at, 512)
-            columns = [batch.column(f"__{c}").to_pylist() for c in ("text", "declared", "suffix", "prior")]
+            columns = [batch.column(c).to_pylist() for c in (text, "__declared", "__suffix", "__prior")]
             found = [fused(m, *row) for row in zip(*columns, strict=True)]
             out = {c: batch.column(c) for c in keep} | {
                 "detected": pa.array([f[0] for f in found], pa.string()),
@@ -193,8 +193,8 @@ def _judged(batches: Iterator[pa.RecordBatch], model, keep: list[str]) -> Iterat
             yield pa.RecordBatch.from_pydict(out)
 
 
-def identify(rows: DataFrame, row_id: Column, text: Column, declared: Column, host: Column, suffix: Column, sample: int = SAMPLE) -> DataFrame:
-    """rows with detected (language), confidence, n_trigrams and kept; the evidence is given as columns over rows.
+def identify(rows: DataFrame, row_id: Column, text: str, declared: Column, host: Column, suffix: Column, sample: int = SAMPLE) -> DataFrame:
+    """rows with detected (language), confidence, n_trigrams and kept; text names a column, the other evidence is columns over rows.
 
     A row without letters has no language, confidence 0, and isn't kept; others are kept from a
     confidence of CONFIDENT on. Any evidence may be null and then says nothing; a null host shares the
@@ -203,13 +203,13 @@ def identify(rows: DataFrame, row_id: Column, text: Column, declared: Column, ho
     column are replaced.
     """
     spark = rows.sparkSession
-    evidence = rows.select(row_id.alias("id"), text.alias("text"), declared.alias("declared"), host.alias("host"))
+    evidence = rows.select(row_id.alias("id"), F.col(text).alias("text"), declared.alias("declared"), host.alias("host"))
     fitted = fit(evidence, sample)
     k = len(fitted.languages)
     model = spark.sparkContext.broadcast(fitted)
     keep = [c for c in rows.columns if c not in ("detected", "confidence", "n_trigrams", "kept")]
     asked = rows.select(
-        *[F.col(f"`{c}`") for c in keep], text.alias("__text"), declared.alias("__declared"), suffix.alias("__suffix"), host.alias("__host")
+        *[F.col(f"`{c}`") for c in keep], declared.alias("__declared"), suffix.alias("__suffix"), host.alias("__host")
     )
     if k:
         priors = staged(host_priors(evidence, model, k), "priors")
@@ -220,13 +220,13 @@ def identify(rows: DataFrame, row_id: Column, text: Column, declared: Column, ho
         asked = asked.withColumn("__prior", F.lit(None).cast("array<double>"))
     fields = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
     schema = ", ".join([*fields, "detected string, confidence double, n_trigrams long, kept boolean"])
-    return asked.drop("__host").mapInArrow(lambda it: _judged(it, model, keep), schema)
+    return asked.drop("__host").mapInArrow(lambda it: _judged(it, model, keep, text), schema)
 
 
 def identify_documents(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """docs (doc_id, text, lang, source) judged: lang is the declared language, and source the host."""
     none = F.lit(None).cast("string")
-    return identify(docs, F.col("doc_id"), F.col("text"), F.col("lang"), F.col("source"), none, sample)
+    return identify(docs, F.col("doc_id"), "text", F.col("lang"), F.col("source"), none, sample)
 
 
 def identify_pages(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -238,4 +238,4 @@ def identify_pages(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     host, suffix = address_columns(F.col("url"))
     rows = pages.select("page_id", "url", text_of("html").alias("text"), declared_in(F.col("html")).alias("declared"))
-    return identify(rows, F.col("page_id"), F.col("text"), F.col("declared"), host, suffix, sample).drop("text")
+    return identify(rows, F.col("page_id"), "text", F.col("declared"), host, suffix, sample).drop("text")

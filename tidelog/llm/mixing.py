@@ -97,8 +97,10 @@ def fit_domains(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Dom
 
     rows = None
     if chosen is not None:
-        few = F.broadcast(chosen)  # at most DOMAINS * sample ids
-        rows = docs.select("doc_id", "text").join(few, "doc_id").mapInArrow(featured, "doc_id string, domain string, words array<int>, shapes array<double>").toArrow()
+        few = F.broadcast(chosen.distinct())  # at most DOMAINS * sample ids
+        # one text for each of them, so that repeated ids don't lengthen the sample
+        found = docs.select("doc_id", "text").join(few, "doc_id").groupBy("doc_id", "domain").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+        rows = found.mapInArrow(featured, "doc_id string, domain string, words array<int>, shapes array<double>").toArrow()
     if rows is None or not rows.num_rows:
         return DomainModel(["all"], np.zeros((1, BUCKETS)), np.zeros((1, SHAPES)))
     rows = rows.sort_by([("doc_id", "ascending"), ("domain", "ascending")])
@@ -143,12 +145,12 @@ def _descend(y, owner, word, shape, k: int, counts: np.ndarray) -> tuple[np.ndar
     return full, shapes
 
 
-def _posteriors(batches: Iterator[pa.RecordBatch], model, keep: list[str]) -> Iterator[pa.RecordBatch]:
+def _posteriors(batches: Iterator[pa.RecordBatch], model, keep: list[str], text: str) -> Iterator[pa.RecordBatch]:
     m = model.value
     for whole in batches:
         for at in range(0, whole.num_rows, 256):
             batch = whole.slice(at, 256)
-            texts = batch.column("__text").to_pylist()
+            texts = batch.column(text).to_pylist()
             tokens = [len((t or "").encode("utf-8", "surrogatepass").split()) for t in texts]
             p = [np.rint(m.posterior(t) * MILLION).astype(np.int64) for t in texts]
             out = {c: batch.column(c) for c in keep}
@@ -158,8 +160,9 @@ def _posteriors(batches: Iterator[pa.RecordBatch], model, keep: list[str]) -> It
 def memberships(docs: DataFrame, model, keep: list[str]) -> DataFrame:
     """The columns `keep` of docs with n_tokens and membership, the posterior in millionths."""
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
-    return rows.mapInArrow(lambda it: _posteriors(it, model, keep), ", ".join([*fields, "n_tokens long, membership array<long>"]))
+    text = "text" if "text" in keep else "__text"
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], *[F.col("text").alias(text)] * ("text" not in keep))
+    return rows.mapInArrow(lambda it: _posteriors(it, model, keep, text), ", ".join([*fields, "n_tokens long, membership array<long>"]))
 
 
 def rate_column(steps: list[np.ndarray]) -> Column:
