@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -10,32 +11,63 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.sources import files
+
+
+@functools.lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="tidelog-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = "file://" + tempfile.mkdtemp(prefix="tidelog-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured.rstrip("/")
+    """The folder that driver and executors share; a temporary one only where the session names none, as in tests."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
+
+
+def home(spark: SparkSession) -> str:
+    """This application's folder among the shared ones."""
+    return f"{shared_dir(spark)}/tidelog-{spark.sparkContext.applicationId}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
     This cuts lineage, and a lost executor costs only the tasks that read the table. The table is
-    columnar, so later steps read only the columns they use.
+    columnar, so later steps read only the columns they use. The driver's JVM deletes all of them
+    when it ends; release() does before.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidelog-{name}-{uuid.uuid4().hex}"
+    folder = home(spark)
+    if folder not in _homes:
+        files.delete_on_exit(spark, folder)
+        _homes.add(folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_homes: set[str] = set()
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the application's staged tables; results that were not written elsewhere can't be read afterwards."""
+    files.delete(spark, home(spark))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once, also when body uses it inside other lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def splittable(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows with the same long keys, written so that a join on them shuffles rows anew.
+
+    An aggregation's result is partitioned by its keys already, and a join that uses that partitioning
+    can't have its hot keys split at run time. One more shuffle of the smaller side buys that.
+    """
+    return rows.withColumns({k: F.bitwise_not(F.bitwise_not(k)) for k in keys})
+
+
 def set_aside(rows: DataFrame, used: list[str]):
     """(rows, restore): all columns but the used ones under names that clash with none, and a function that undoes this.
 

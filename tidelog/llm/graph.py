@@ -5,23 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import staged
+from tidelog.llm.common import splittable, staged
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step over (a, b): each node links its larger (large) or smaller neighbours to its least one.
 
     The minima are a map-side aggregation, and edges meet them in an equi-join whose one side has
-    one row for each node, so that a node with many neighbours can be split by the engine.
+    one row for each node and a shuffle of its own, so that a node with many neighbours can be split.
     """
     if large:
         pairs = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = pairs.groupBy("a").agg(F.min("b").alias("least")).withColumn("least", F.least("a", "least"))
-        linked = pairs.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+        linked = pairs.where("b > a").join(splittable(least, "a"), "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
     else:
         down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("least"))
-        linked = down.join(least, "a").select("b", F.col("least")).where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+        linked = down.join(splittable(least, "a"), "a").select("b", F.col("least")).where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
         linked = linked.unionAll(least.select("a", F.col("least").alias("b")))
     return linked.where("a <> b").distinct()
 

@@ -19,6 +19,7 @@ fixed-size count sketch has seen often last, and each orders the rest by its own
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import filter_bits, may_hold, mix64, shingle_set, shingles, staged
+from tidelog.llm.common import filter_bits, may_hold, mix64, shingle_set, shingles, splittable, staged
 from tidelog.llm.graph import components
 
 ORDERS = 3
@@ -40,8 +41,9 @@ SHORT_LIST = 32
 TILE = 512
 #: Bits of the filter that keeps the texts of classes without candidates from being shuffled.
 FILTER_BITS = 24
-#: Bits of the filter of shingles that were posted more than once; it goes by their lower bits.
-POSTING_BITS = 27
+#: Most bits of the filter of shingles that were posted more than once; it goes by their lower bits. Up to
+#: there it has about POSTING_SHARE bits for each posting; beyond, it lets more through.
+POSTING_BITS, POSTING_SHARE = 27, 6
 
 
 @dataclass(frozen=True)
@@ -103,20 +105,31 @@ def _class_of(tokens: np.ndarray) -> np.int64:
 
 
 def _featured(batches: Iterator[pa.RecordBatch], sim: Similarity, levels) -> Iterator[pa.RecordBatch]:
+    """Each document's set size, class and first prefix."""
     levels = levels.value
     for whole in batches:
         for start in range(0, whole.num_rows, 512):
             batch = whole.slice(start, 512)
-            n, sid, prefixes = [], [], [[] for _ in range(ORDERS)]
+            n, sid, first = [], [], []
             for text in batch.column("text").to_pylist():
                 tokens = shingle_set(text, sim.k)
                 n.append(len(tokens))
                 sid.append(_class_of(tokens))
-                for out, prefix in zip(prefixes, _prefixes(tokens, sim, levels), strict=True):
-                    out.append(prefix)
+                first.append(_prefix(tokens, sim.prefix(len(tokens)), levels, 0).view(np.int64) if len(tokens) else tokens.view(np.int64))
             out = {"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "n": pa.array(n, pa.int64()), "sid": pa.array(sid, pa.int64())}
-            for order, lists in enumerate(prefixes):
-                out[f"p{order}"] = pa.array(lists, pa.list_(pa.int64() if order == 0 else pa.int32()))
+            yield pa.RecordBatch.from_pydict(out | {"p0": pa.array(first, pa.list_(pa.int64()))})
+
+
+def _asked(batches: Iterator[pa.RecordBatch], sim: Similarity, levels, bits) -> Iterator[pa.RecordBatch]:
+    """All prefixes of the documents that may stand for a class in question; 32 bits of each token do to count for a bound."""
+    for whole in _maybe(batches, "text_hash", bits):
+        for start in range(0, whole.num_rows, 512):
+            batch = whole.slice(start, 512)
+            found = [_prefixes(shingle_set(t, sim.k), sim, levels.value) for t in batch.column("text").to_pylist()]
+            out = {"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash")}
+            for order in range(ORDERS):
+                lists = [(f[order] & 0x7FFFFFFF).astype(np.int32) for f in found]
+                out[f"p{order}"] = pa.array(lists, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_pydict(out)
 
 
@@ -126,7 +139,7 @@ def _maybe(batches: Iterator[pa.RecordBatch], column: str, bits) -> Iterator[pa.
         yield batch.filter(pa.array(may_hold(bits.value, batch.column(column).to_numpy())))
 
 
-def _postings(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:
+def _postings(batches: Iterator[pa.RecordBatch], bits, width: int) -> Iterator[pa.RecordBatch]:
     """(token, sid, n) of the first prefixes' tokens that may have been posted twice."""
     for whole in batches:
         for start in range(0, whole.num_rows, 4096):
@@ -134,7 +147,7 @@ def _postings(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatc
             lists = batch.column("p0")
             tokens = lists.flatten().to_numpy()
             owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            hit = may_hold(bits.value, tokens << (64 - POSTING_BITS))
+            hit = may_hold(bits.value, tokens << (64 - width))
             owner = pa.array(owner[hit])
             yield pa.RecordBatch.from_pydict({"token": pa.array(tokens[hit]), "sid": batch.column("sid").take(owner), "n": batch.column("n").take(owner)})
 
@@ -282,7 +295,7 @@ def _tiled(rows: DataFrame, group: str, sim: Similarity) -> DataFrame:
     next_ = sizes.select(group, (F.col("bucket") - 1).alias("bucket"), F.col("blocks").alias("next_blocks"))
     before = sizes.select(group, (F.col("bucket") + 1).alias("bucket"), F.col("blocks").alias("before_blocks"))
     plan = sizes.select(group, "bucket", "blocks", "cut").join(next_, [group, "bucket"], "left").join(before, [group, "bucket"], "left")
-    rows = rows.join(plan, [group, "bucket"])
+    rows = rows.join(splittable(plan, group), [group, "bucket"])
     block = F.pmod(F.xxhash64("sid", F.lit(7)), F.col("blocks")).cast("int")
     name = lambda bucket, i, bucket2, j: F.concat_ws(":", bucket, i, bucket2, j)
     tile = lambda name, side, same: F.struct(name.alias("tile"), F.lit(side).alias("side"), same.alias("same"))
@@ -331,7 +344,7 @@ def jaccard_groups(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame
     docs = docs.withColumn("text_hash", F.xxhash64("text"))
     levels = spark.sparkContext.broadcast(token_levels(docs, sim.k))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, text_hash long, n long, sid long, p0 array<long>, p1 array<int>, p2 array<int>"
+    schema = f"doc_id {id_type}, text_hash long, n long, sid long, p0 array<long>"
     rows = staged(docs.select("doc_id", "text_hash", "text").mapInArrow(lambda it: _featured(it, sim, levels), schema), "prefixes")
 
     # one row stands for each class
@@ -346,14 +359,16 @@ def jaccard_groups(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame
 
     # postings that at least two classes made: a filter of a fixed size, then exactly
     share = spark.sparkContext.broadcast
-    place = F.col("token").bitwiseAND(F.lit((1 << POSTING_BITS) - 1)).cast("int")
+    posted = some.agg(F.sum(F.size("p0"))).first()[0] or 0
+    width = min(POSTING_BITS, max(16, math.ceil(math.log2(POSTING_SHARE * posted + 1))))
+    place = F.col("token").bitwiseAND(F.lit((1 << width) - 1)).cast("int")
     counted = some.select(F.explode("p0").alias("token")).groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("n"))
-    often = counted.where("n > 1").select(F.shiftleft(F.col("place").cast("long"), 64 - POSTING_BITS).alias("token"))
-    often = share(filter_bits(often, "token", POSTING_BITS))
-    postings = some.select("sid", "n", "p0").mapInArrow(lambda it: _postings(it, often), "token long, sid long, n long").distinct()
+    often = counted.where("n > 1").select(F.shiftleft(F.col("place").cast("long"), 64 - width).alias("token"))
+    often = share(filter_bits(often, "token", width))
+    postings = some.select("sid", "n", "p0").mapInArrow(lambda it: _postings(it, often, width), "token long, sid long, n long").distinct()
     postings = staged(postings, "postings")
     shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
-    listed = staged(postings.join(shared, "token"), "listed")
+    listed = staged(postings.join(splittable(shared, "token"), "token"), "listed")
 
     # order 1, short lists: the shared postings of a pair are counted
     long_ = listed.where(F.col("length") > SHORT_LIST)
@@ -374,13 +389,13 @@ def jaccard_groups(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame
 
     # the other orders, for the classes that are still in question
     asked = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select(F.col("b").alias("sid"))).unionAll(long_.select("sid")).distinct()
-    asked = staged(asked, "asked")
-    asked_bits = share(filter_bits(asked, "sid", FILTER_BITS))
-    short_tokens = F.transform("p0", lambda t: t.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))  # counted for a bound only
-    prefixes = some.select("sid", "p0", "p1", "p2").mapInArrow(
-        lambda it: _maybe(it, "sid", asked_bits), "sid long, p0 array<long>, p1 array<int>, p2 array<int>"
-    ).withColumn("p0", short_tokens)
-    prefixes = staged(prefixes.join(asked, "sid", "left_semi").dropDuplicates(["sid"]), "asked-prefixes")
+    asked = staged(classes.join(asked, "sid").select("sid", "doc_id", "text_hash"), "asked")
+    asked_bits = share(filter_bits(asked, "text_hash", FILTER_BITS))
+    prefixes = docs.select("doc_id", "text_hash", "text").mapInArrow(
+        lambda it: _asked(it, sim, levels, asked_bits), f"doc_id {id_type}, text_hash long, p0 array<int>, p1 array<int>, p2 array<int>"
+    )
+    prefixes = _row_join(prefixes, asked, "inner").drop("doc_id", "text_hash").dropDuplicates(["sid"])
+    prefixes = staged(prefixes, "asked-prefixes")
     side = lambda s: prefixes.select(F.col("sid").alias(s), F.col("p1").alias(f"{s}1"), F.col("p2").alias(f"{s}2"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b")
     for order in ("1", "2"):
@@ -411,7 +426,7 @@ def jaccard_groups(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame
     named = classes.join(roots, classes["sid"] == roots["node"], "left").withColumn("root", F.coalesce("root", "sid"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     labels = named.join(least, "root").join(links, "sid", "left").select("sid", "root", "component_id", "copies", "links")
-    out = rows.select("doc_id", "text_hash", "n", "sid").join(labels, "sid", "left")
+    out = rows.select("doc_id", "text_hash", "n", "sid").join(splittable(labels, "sid"), "sid", "left")
     empty = F.col("n") == 0
     return out.select(
         "doc_id",
