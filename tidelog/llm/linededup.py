@@ -94,6 +94,7 @@ def remove_repeated_units(docs: DataFrame, kind: str = "line", min_words: int =
     rank = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "text_hash", "place")
     first = found.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first <> last")
     first = first.select("d1", "d2", F.col("first.text_hash").alias("f_hash"), F.col("first.place").alias("f_place"), F.col("first.doc_id").alias("f_id"))
+    first = staged(first, "first")  # the join then has a shuffle of its own, whose hot digests the engine can split
     kept = (F.col("text_hash") == F.col("f_hash")) & (F.col("place") == F.col("f_place")) & F.col("doc_id").eqNullSafe(F.col("f_id"))
     gone = found.join(first, ["d1", "d2"]).where(~kept).select("doc_id", "text_hash", "start", "end").distinct()
     per_text = gone.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
