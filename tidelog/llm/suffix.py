@@ -278,7 +278,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int | None = Non
     schema = "text_hash long, h long, c long, span long, place long, content binary"
     found = staged(long_enough.select("text_hash", "text").mapInArrow(lambda it: _contexts(it, length, gram, repeated, mixed), schema), "contexts")
     counts = staged(found.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n")), "counts")
-    per_hash = counts.groupBy("h").agg(F.count(F.lit(1)).alias("distinct")).where(F.col("distinct") > 1)
+    per_hash = staged(counts.groupBy("h").agg(F.count(F.lit(1)).alias("distinct")).where(F.col("distinct") > 1), "hashes")
     texts = found.where(F.col("content").isNotNull()).select("h", "c", "place", "content").dropDuplicates(["h", "c"])
     texts = staged(texts.join(per_hash, "h"), "texts")
     few = F.col("distinct") <= most_contexts
