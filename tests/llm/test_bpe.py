@@ -40,6 +40,17 @@ def test_cuts_are_where_no_token_goes():
     assert all(CODEC.merge(tuple(rare)) == tuple(i for f in CODEC.cuts(rare) for i in CODEC.merge(f)) for _ in range(1))
 
 
+def test_long_fragments():
+    import random
+
+    rng = random.Random(4)
+    for n in (65, 300, 3000):
+        for alphabet in ("a", "ab", "the in", "abcdefghijklmnopqrstuvwxyz"):
+            word = "".join(rng.choice(alphabet.replace(" ", "")) for _ in range(n))
+            assert same(word)
+    assert len(CODEC.encode("ab" * 200_000)) > 1000  # in well under quadratic time
+
+
 def test_documents(spark, documents, odd_documents):
     for df in (documents, odd_documents):
         texts = {(r["doc_id"], r["n_chars"]): r["text"] or "" for r in df.collect()}

@@ -8,33 +8,29 @@ independently (and remembered, as they recur), and the ids are concatenated.
 
 from __future__ import annotations
 
+import array
 import functools
 import hashlib
+import heapq
 import json
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The tokenizer's pre-tokenisation: contractions, letters, single digits, other marks (fixed values).
+#: The rank of pairs that are never joined; symbols of a fragment up to which it is merged by scans.
+NEVER, SHORT = 1 << 60, 64
 #: Characters that any Unicode version may lack.
 RARE = re.compile("[^\x00-\u024f]")
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 
 
-def unassigned() -> regex.Pattern:
-    """Matches characters that Python's Unicode tables don't know; the library's and regex's, of other versions, may."""
-    codes = [c for c in range(0x250, 0x110000) if unicodedata.category(chr(c)) == "Cn"]
-    starts = [c for c, before in zip(codes, [0, *codes]) if c != before + 1]
-    ends = [c for c, after in zip(codes, [*codes[1:], 0]) if c != after - 1]
-    return regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True)) + "]")
-
-
 def byte_symbols() -> list[str]:
     """The printable character that byte-level BPE writes for each byte.
 
@@ -45,27 +41,52 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
 
 
+class Remembered:
+    """A dictionary of bounded size: when the younger half is full, the older one is forgotten; what is asked for turns young."""
+
+    HALF = 120_000
+
+    def __init__(self):
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self[key] = found
+        return found
+
+    def __setitem__(self, key, value) -> None:
+        if len(self.young) >= self.HALF:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+    def __len__(self) -> int:
+        return len(self.young) + len(self.old)
+
+
 class BoundaryBpe:
     """An encoder and decoder for a tokenizer file of the word-end kind (NFC, lower case, byte level)."""
 
-    REMEMBERED = 200_000
 
     def __init__(self, spec: str):
         model = json.loads(spec)
         end = model["model"]["end_of_word_suffix"]
         self.vocab: dict[str, int] = model["model"]["vocab"]
         self.added = {t["content"]: t["id"] for t in model["added_tokens"]}
-        self.strings = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
+        ids = self.vocab | self.added
+        self.strings: list[str | None] = [None] * (max(ids.values()) + 1)
+        for t, i in ids.items():
+            self.strings[i] = t
         self.ranks = {tuple(m.split(" ") if isinstance(m, str) else m): r for r, m in enumerate(model["model"]["merges"])}
         self.end, self.spec, self.library = end, spec, None
-        self.symbols, self.unknown = byte_symbols(), unassigned()
+        self.symbols = byte_symbols()
         self.split_added = regex.compile("|".join(f"({regex.escape(t)})" for t in sorted(self.added, key=len, reverse=True)) or "(?!)")
         self.inside: set[tuple[str, str]] = set()
         for token in self.vocab:
             s = self._units(token)
             self.inside.update(zip(s, s[1:]))
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.fragments: dict[tuple[str, ...], tuple[int, ...]] = {}
+        self.words, self.fragments = Remembered(), Remembered()
 
     def _units(self, token: str) -> list[str]:
         """A token's symbols; the word end belongs to the last one."""
@@ -76,6 +97,8 @@ class BoundaryBpe:
 
     def cuts(self, symbols: list[str]) -> list[tuple[str, ...]]:
         """The fragments between certain cuts."""
+        if self.inside.issuperset(zip(symbols, symbols[1:])):
+            return [tuple(symbols)]
         out, start = [], 0
         for i in range(1, len(symbols)):
             if (symbols[i - 1], symbols[i]) not in self.inside:
@@ -85,40 +108,61 @@ class BoundaryBpe:
         return out
 
     def merge(self, fragment: tuple[str, ...]) -> tuple[int, ...]:
-        """The lowest-ranked pair is joined, leftmost first, until no pair has a rank."""
-        parts = list(fragment)
-        while len(parts) > 1:
-            ranked = [self.ranks.get(p, 1 << 60) for p in zip(parts, parts[1:])]
-            best = min(ranked)
-            if best == 1 << 60:
-                break
-            out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and ranked[i] == best:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return tuple(self.vocab[p] for p in parts)
+        """The lowest-ranked pair is joined, the leftmost of equals first, until no pair has a rank."""
+        if len(fragment) > SHORT:
+            return self._merge_long(fragment)
+        parts, get = list(fragment), self.ranks.get
+        ranks = [get(p, NEVER) for p in zip(parts, parts[1:])]
+        while ranks and (best := min(ranks)) != NEVER:
+            i = ranks.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((parts[i - 1], parts[i]), NEVER)
+            if i < len(ranks):
+                ranks[i] = get((parts[i], parts[i + 1]), NEVER)
+        return tuple(map(self.vocab.__getitem__, parts))
+
+    def _merge_long(self, fragment: tuple[str, ...]) -> tuple[int, ...]:
+        """The same with a heap of pairs over a linked list, for fragments in which scans would add up."""
+        parts: list[str | None] = list(fragment)
+        n, get = len(parts), self.ranks.get
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(r, i, i + 1) for i, p in enumerate(zip(fragment, fragment[1:])) if (r := get(p)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i, j = heapq.heappop(heap)
+            if parts[i] is None or after[i] != j or j >= n or get((parts[i], parts[j])) != rank:
+                continue  # one of the two has been joined since
+            parts[i], parts[j] = parts[i] + parts[j], None
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (r := get((parts[i], parts[k]))) is not None:
+                    heapq.heappush(heap, (r, i, k))
+            if (h := before[i]) >= 0 and (r := get((parts[h], parts[i]))) is not None:
+                heapq.heappush(heap, (r, h, i))
+        return tuple(self.vocab[p] for p in parts if p is not None)
 
     def _word(self, word: str) -> tuple[int, ...]:
-        symbols = [self.symbols[b] for b in word.encode("utf-8", "replace")]
+        # printable ASCII bytes are their own symbols
+        symbols = list(word) if word.isascii() and word.isprintable() else [self.symbols[b] for b in word.encode("utf-8", "replace")]
         symbols[-1] += self.end
+        fragments = self.cuts(symbols)
+        if len(fragments) == 1:  # remembered as a word
+            return self.merge(fragments[0])
         ids: list[int] = []
-        for fragment in self.cuts(symbols):
+        for fragment in fragments:
             if (known := self.fragments.get(fragment)) is None:
                 known = self.merge(fragment)
                 if len(fragment) <= 64:  # what is remembered stays small
-                    if len(self.fragments) >= self.REMEMBERED:
-                        self.fragments.clear()
                     self.fragments[fragment] = known
             ids.extend(known)
         return tuple(ids)
 
     def _split(self, piece: str) -> list[str]:
-        if RARE.search(piece) and self.unknown.search(piece):
+        # the library's Unicode tables may know characters that Python's don't
+        if any(unicodedata.category(c) == "Cn" for c in set(RARE.findall(piece))):
             return self._library_split(piece)
         # character by character, so that a final sigma is like any other
         return WORDS.findall(unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower())
@@ -141,19 +185,21 @@ class BoundaryBpe:
             if i % (len(self.added) + 1):
                 ids.append(self.added[piece])
                 continue
+            words = self.words
             for word in self._split(piece):
-                if (known := self.words.get(word)) is None:
+                if (known := words.young.get(word)) is None and (known := words.get(word)) is None:
                     known = self._word(word)
                     if len(word) <= 64:
-                        if len(self.words) >= self.REMEMBERED:
-                            self.words.clear()
-                        self.words[word] = known
+                        words[word] = known
                 ids.extend(known)
         return ids
 
     def decode(self, ids: list[int]) -> str:
         """The tokens' strings with a space between, as the library does for a file without a decoder."""
-        return " ".join(self.strings[i] for i in ids if i in self.strings)
+        try:
+            return " ".join(map(self.strings.__getitem__, ids))
+        except (IndexError, TypeError):  # ids without a token are passed over
+            return " ".join(s for i in ids if 0 <= i < len(self.strings) and (s := self.strings[i]) is not None)
 
 
 def load_spec(path: str) -> str:
@@ -175,13 +221,15 @@ def _added_columns(batches: Iterator[pa.RecordBatch], spec, text: str, keep: lis
             n, ids_sha, text_sha, all_ids, decoded = [], [], [], [], []
             for t in batch.column(text).to_pylist():
                 ids = codec.encode(t)
-                words = np.asarray(ids, "<u4")
+                words = array.array("I", ids)
+                if sys.byteorder == "big":
+                    words.byteswap()
                 back = codec.decode(ids)
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(words.tobytes()).hexdigest())
                 text_sha.append(hashlib.sha256(back.encode()).hexdigest())
                 if full:
-                    all_ids.append(words.astype(np.int32))
+                    all_ids.append(ids)
                     decoded.append(back)
             out = {c: batch.column(c) for c in keep}
             if full:
