@@ -50,8 +50,8 @@ def test_thresholds_are_the_quartiles_of_the_group(spark, documents):
 
 
 def test_outliers_of_their_group_go_and_others_stay(spark):
-    clean = [(i, " ".join(f"word{j * (i + 1) % 97}" for j in range(60)), "en", "a") for i in range(150)]
-    noisy = [(1000 + i, " ".join(f"|w#{j * (i + 3) % 101}" for j in range(60)), "en", "a") for i in range(5)]
-    other = [(2000 + i, " ".join(f"|w#{j * (i + 3) % 101}" for j in range(60)), "xx", "b") for i in range(150)]
+    clean = [(i, " ".join(f"word{j * (i % 90 + 1) % 97}" for j in range(60)), "en", "a") for i in range(150)]
+    noisy = [(1000 + i, " ".join(f"|w#{j * (i % 90 + 3) % 101}" for j in range(60)), "en", "a") for i in range(5)]
+    other = [(2000 + i, " ".join(f"|w#{j * (i % 90 + 3) % 101}" for j in range(60)), "xx", "b") for i in range(150)]
     got = {r["doc_id"]: r["kept"] for r in quality_rules(spark.createDataFrame(clean + noisy + other, "doc_id long, text string, lang string, source string")).collect()}
     assert all(got[r[0]] for r in clean + other) and not any(got[r[0]] for r in noisy)
