@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import bpe, jaccard, langid, mixing, queries, secrets
-from tidelog.llm.common import set_aside, staged, with_row_info
+from tidelog.llm.common import set_aside, splittable, staged, with_row_info
 from tidelog.shipping import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rank = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "text_hash")
     grouped = staged(groups.select("group_id", "doc_id", "text_hash", rank.alias("rank")).distinct(), "grouped")
     first = grouped.groupBy("group_id").agg(F.min("rank").alias("first"))
-    verdicts = grouped.join(first, "group_id").select("doc_id", "text_hash", (F.col("rank") == F.col("first")).alias("stays"))
+    verdicts = grouped.join(splittable(first, "group_id"), "group_id").select("doc_id", "text_hash", (F.col("rank") == F.col("first")).alias("stays"))
     plain, restore = set_aside(docs, ["doc_id", "text"])
     hashed = plain.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     told = with_row_info(hashed, staged(verdicts, "verdicts"), "stays")
