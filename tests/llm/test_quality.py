@@ -55,3 +55,14 @@ def test_outliers_of_their_group_go_and_others_stay(spark):
     other = [(2000 + i, " ".join(f"|w#{j * (i % 90 + 3) % 101}" for j in range(60)), "xx", "b") for i in range(150)]
     got = {r["doc_id"]: r["kept"] for r in quality_rules(spark.createDataFrame(clean + noisy + other, "doc_id long, text string, lang string, source string")).collect()}
     assert all(got[r[0]] for r in clean + other) and not any(got[r[0]] for r in noisy)
+
+
+def test_groups_of_long_words_have_fences_of_their_own(spark):
+    """Mean lengths of 45 to 74 characters, and outliers that a cut at 40 turned round."""
+    text = lambda i, n: " ".join(f"{i:04d}{j:02d}".ljust(n, "x") for j in range(20))
+    clean = [(i, text(i, 45 + i % 30), "zh", "a") for i in range(300)]
+    near = [(1000 + i, text(i, n), "zh", "a") for i, n in enumerate((30, 36))]
+    far = [(2000 + i, text(i, n), "zh", "a") for i, n in enumerate((500, 5000))]
+    rows = quality_rules(spark.createDataFrame(clean + near + far, "doc_id long, text string, lang string, source string")).collect()
+    got = {r["doc_id"]: (r["kept"], r["failed"]) for r in rows}
+    assert all(got[r[0]] == (True, "") for r in clean + near) and all(got[r[0]] == (False, "length") for r in far)

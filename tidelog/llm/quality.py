@@ -1,8 +1,9 @@
 """Quality rules with adaptive thresholds, in DataFrame functions only.
 
-Each document's rule metrics are whole numbers in a bounded range, so a histogram of them is a
-quantile sketch: its counts merge by addition, exactly and in any order, and its size does not grow
-with the data. Sketches are kept for each (language, source), each language and the whole table; a
+Each document's rule metrics are whole numbers, so a histogram of them is a quantile sketch: its
+counts merge by addition, exactly and in any order, and it has a row for each distinct value. Three
+metrics are per mille; the mean word length has no upper bound and none is set, as the fences of a
+group of long words (Chinese, Thai, lists of addresses) lie far above those of others. Sketches are kept for each (language, source), each language and the whole table; a
 group of too few documents takes its thresholds from the next wider one.
 """
 
@@ -19,7 +20,7 @@ SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 SPLIT = "[ \\t-\\r]+"
 WINDOW = 5
-#: Metrics with the largest value of each; larger values count as the largest.
+#: Metrics with the largest value of each in the oracle's SQL; here per mille ends at 1000 by itself and nothing is cut.
 METRICS = {"symbols": 1000, "length": 400, "lines": 1000, "repeats": 1000}
 #: A threshold lies FENCE interquartile ranges outside the quartiles, and at least SLACK away from them.
 FENCE = 3
@@ -93,14 +94,13 @@ def base_failed() -> Column:
 
 def metric_columns() -> dict[str, Column]:
     """Per mille of symbols, of repeated lines and of words in repeated windows; ten times the mean word length."""
-    ratio = lambda a, b, by: F.floor(F.lit(by) * F.col(a) / F.greatest(F.col(b), F.lit(1).cast("long"))).cast("int")
-    values = {
+    ratio = lambda a, b, by: F.floor(F.lit(by) * F.col(a) / F.greatest(F.col(b), F.lit(1).cast("long")))
+    return {
         "symbols": ratio("n_symbols", "word_chars", 1000),
         "length": ratio("word_chars", "n_words", 10),
         "lines": ratio("n_dup_lines", "n_lines", 1000),
         "repeats": ratio("n_repeat_words", "n_words", 1000),
     }
-    return {m: F.least(v, F.lit(METRICS[m])) for m, v in values.items()}
 
 
 def sketches(counts: DataFrame) -> DataFrame:
