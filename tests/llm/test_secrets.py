@@ -1,7 +1,11 @@
 import base64
+import bz2
 import gzip
 import hashlib
+import io
+import lzma
 import re
+import tarfile
 import zlib
 from urllib.parse import quote
 
@@ -62,6 +66,44 @@ def test_nested_layers():
     assert spans("%25" * 30 + "password%253Dabcdefgh12") == {("assign", 90, 90 + len("password%253Dabcdefgh12"))}
 
 
+def wrapped(raw, width=76, end="\n"):
+    b = base64.b64encode(raw).decode()
+    return end.join(b[i : i + width] for i in range(0, len(b), width))
+
+
+NOISE = bytes((i * i * 7 + i // 3) % 251 for i in range(900))
+
+
+def test_base64_over_lines():
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress):
+        for width, end in ((76, "\n"), (64, "\r\n"), (20, "\n  ")):
+            blob = wrapped(pack(NOISE + b" " + KEY.encode()), width, end)
+            for before, after in (("a ", " z"), ("Dear\n", "\nthanks\nBob"), ("x: ", "")):
+                found = spans(before + blob + after)
+                assert any(k == "access" and a == len(before) and b >= len(before) + len(blob) for k, a, b in found), (pack, width, before)
+    plain = wrapped(b"-" * 50 + KEY.encode() + b"-" * 50)  # the key lies across the first break
+    assert spans(f"{plain}\n") == {("access", 0, len(plain))}
+
+
+def test_layers_that_are_not_clean_text():
+    tar = io.BytesIO()
+    with tarfile.open(fileobj=tar, mode="w:gz") as t:
+        t.addfile(info := tarfile.TarInfo("env"), None)
+        info.size = len(KEY)
+        t.addfile(info, io.BytesIO(KEY.encode()))
+    colours, broken = f"\x1b[31m{KEY}\x1b[0m".encode(), b"\xff\xfe\xfd " + KEY.encode()
+    for raw in (colours, broken, tar.getvalue(), KEY.encode("utf-16"), KEY.encode("utf-16-be")):
+        b = base64.b64encode(raw).decode()
+        assert spans(f"a {b}") == {("access", 2, 2 + len(b))}
+    assert {s[0] for s in spans("%FF%70assword=abcdefgh1 \\ud800\\u0041KIAABCDEFGHIJKLMNOP")} == {"assign", "access"}
+
+
+def test_further_members():
+    for pack in (gzip.compress, bz2.compress, lzma.compress):
+        b = base64.b64encode(pack(b"first") + pack(b"second " + KEY.encode())).decode()
+        assert spans(f"a {b}") == {("access", 2, 2 + len(b))}
+
+
 def test_cycles_and_rubbish_end():
     for text in ("%" * 500, "%2525252525", "\\u005cu005c" * 50, "A" * 4000, "=" * 100, "%FF%FE", "\\ud800", "H4sIAAAAAAAA" * 5):
         find_secrets(text)

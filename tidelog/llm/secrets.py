@@ -19,6 +19,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +34,18 @@ PATTERNS = {
     "hex": (re.compile(r"[0-9a-f]{32,}"), 0, 32),
 }
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+ESCAPED = re.compile(r"%[0-9A-Fa-f]{2}")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 UNICODE_ONE = re.compile(r"\\[uUx]([0-9A-Fa-f]+)")
 #: A run of either base64 alphabet that is long enough to hold a secret.
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Runs on lines that follow each other, blanks around the breaks allowed, and the run of one line.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[\x20\t]*+\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)+={0,2}")
+RUN = re.compile(r"[A-Za-z0-9+/_-]+")
+#: Characters that a run over several lines needs.
+LEAST = 16
+#: Bytes that decompressors take and give at a time.
+FEED, PIECE = 1 << 16, 1 << 20
 #: Bytes that one decompressed layer may have; more is an archive and no quoted secret.
 LAYER_BYTES = 32 << 20
 
@@ -59,31 +68,65 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def _readable(raw: bytes) -> str | None:
-    """Bytes as text if they are UTF-8 without other control characters than white space."""
+def _texts(raw: bytes) -> Iterator[str]:
+    """Bytes as text: UTF-8, or else a character for each byte; also both kinds of UTF-16 if there are null bytes."""
     try:
         text = raw.decode("utf-8")
     except UnicodeDecodeError:
-        return None
-    return text if text and not re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text) else None
+        text = raw.decode("latin-1")
+    if text:
+        yield text
+    if b"\0" in raw:
+        yield raw.decode("utf-16-le", "replace")
+        yield raw.decode("utf-16-be", "replace")
 
 
-def _inflated(raw: bytes) -> bytes | None:
-    """Decompressed data of the usual formats, by their first bytes."""
+def _clean(raw: bytes) -> bool:
+    """Whether bytes are UTF-8 without other control characters than white space."""
     try:
-        if raw[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(raw, LAYER_BYTES)
-        if raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(raw, LAYER_BYTES)
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, LAYER_BYTES)
-        if raw[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(raw, LAYER_BYTES)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        return None
+        return not re.search(r"[\x00-\x08\x0e-\x1f\x7f]", raw.decode("utf-8"))
+    except UnicodeDecodeError:
+        return False
+
+
+def _decompressor(head: bytes):
+    """A decompressor for data of the usual formats, by their first bytes."""
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if head[:1] == b"\x78" and len(head) > 2 and (head[0] * 256 + head[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
     return None
 
 
+def _inflated(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """Pieces of the decompressed data of a stream, member after member; damaged data ends it."""
+    data = b""
+    while True:
+        while len(data) < 6 and (more := next(chunks, b"")):
+            data = (data + more).lstrip(b"\0")  # members may be padded
+        if (d := _decompressor(data)) is None:
+            return
+        while not d.eof:
+            try:
+                out = d.decompress(data, PIECE)
+            except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+                return
+            data = getattr(d, "unconsumed_tail", b"")
+            if out:
+                yield out
+            elif not data and not d.eof and not (data := next(chunks, b"")):
+                return
+        data = d.unused_data.lstrip(b"\0")
+
+
+def _fed(raw: bytes) -> Iterator[bytes]:
+    return (raw[at : at + FEED] for at in range(0, len(raw), FEED))
+
+
 def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     """The layer with every run of the pattern decoded; decode gives (text, first, last) pieces, offsets within the run."""
     text, starts, ends, at = [], [], [], 0
@@ -109,14 +152,11 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
 
 def _percent(run: str):
     raw = bytes.fromhex(run.replace("%", ""))
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
     out, at = [], 0
-    for ch in text:
-        width = 3 * len(ch.encode())
-        out.append((ch, at, at + width))
+    for ch in raw.decode("utf-8", "surrogateescape"):
+        bad = "\udc80" <= ch <= "\udcff"
+        width = 3 * (1 if bad else len(ch.encode()))
+        out.append(("\ufffd" if bad else ch, at, at + width))
         at += width
     return out
 
@@ -129,30 +169,62 @@ def _unicode(run: str):
         if 0xD800 <= code < 0xDC00 and i + 1 < len(parts) and 0xDC00 <= parts[i + 1][0] < 0xE000:
             code, last, i = 0x10000 + ((code - 0xD800) << 10) + parts[i + 1][0] - 0xDC00, parts[i + 1][2], i + 1
         if code > 0x10FFFF or 0xD800 <= code < 0xE000:
-            return None
+            code = 0xFFFD
         out.append((chr(code), first, last))
         i += 1
     return out
 
 
+def _lines(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, run) of what base64 over several lines may be, its breaks left out.
+
+    That is all lines that follow each other, and, as words may stand on the lines before and after,
+    lines of one width with a shorter last one, without it if it does not fill the last four
+    characters, and with a shorter first one.
+    """
+    for m in WRAPPED.finditer(text) if "\n" in text else ():
+        if m.end() - m.start() < LEAST:
+            continue
+        at = [(x.start(), x.end()) for x in RUN.finditer(text, m.start(), m.end())]
+        widths, n = [b - a for a, b in at], len(at)
+        picked, i = {(0, n): None}, 0
+        while i < n:
+            j = i + 1
+            while j < n and widths[j] == widths[i]:
+                j += 1
+            short = j < n and widths[j] < widths[i]
+            picked[i, j + short] = None
+            if i == 1:
+                picked[0, j + short] = None
+            if short and (sum(widths[i : j + 1]) + (m.end() - at[-1][1] if j == n - 1 else 0)) % 4:
+                picked[i, j] = None
+            i = j
+        for i, j in picked:
+            if j - i > 1 and sum(widths[i:j]) >= LEAST:
+                yield at[i][0], m.end() if j == n else at[j - 1][1], "".join(text[a:b] for a, b in at[i:j])
+
+
 def _blobs(layer: Layer) -> Iterator[Layer]:
     """What base64 runs hold, each as a layer whose characters all come from the whole run."""
-    for m in BASE64.finditer(layer.text):
-        run = m.group().rstrip("=").replace("-", "+").replace("_", "/")
-        if len(run) % 4 == 1:
-            continue
+    runs = ((m.start(), m.end(), m.group()) for m in BASE64.finditer(layer.text))
+    for start, end, run in chain(runs, _lines(layer.text)):
+        run = run.rstrip("=").replace("-", "+").replace("_", "/")
+        run = run[: len(run) - (len(run) % 4 == 1)]  # a single character holds no byte
         try:
             raw = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
+        packed = raw
         for _ in range(8):  # compressed data may itself be compressed
-            unpacked = _inflated(raw)
-            if unpacked is None:
+            unpacked = b"".join(_inflated(_fed(raw)))[:LAYER_BYTES]
+            if not unpacked:
                 break
             raw = unpacked
-        if (text := _readable(raw)) is not None:
+        if raw is packed and start and ESCAPED.match(layer.text, start - 1) and not _clean(raw):
+            continue  # its first two digits are an escape's; the run without them comes once that is undone
+        for text in _texts(raw):
             n = len(text)
-            yield Layer(text, np.full(n, layer.start[m.start()]), np.full(n, layer.end[m.end() - 1]))
+            yield Layer(text, np.broadcast_to(layer.start[start], n), np.broadcast_to(layer.end[end - 1], n))
 
 
 def unwrapped(layer: Layer) -> Iterator[Layer]:
@@ -167,7 +239,7 @@ def find_secrets(text: str | None) -> tuple[list[tuple[str, int, int]], list[tup
     text = text or ""
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     base = sorted(scan(text), key=order)
-    if not ("%" in text or "\\" in text or BASE64.search(text)):
+    if not ("%" in text or "\\" in text or BASE64.search(text) or next(_lines(text), None)):
         return base, base
     places = np.arange(len(text), dtype=np.int64)
     work, seen, spans = [Layer(text, places, places + 1)], {hashlib.sha256(text.encode("utf-8", "replace")).digest()}, set(base)
