@@ -49,6 +49,15 @@ def test_scores_and_dimensions(spark):
     assert matching(rows, [1.0, 0.0, 0.0], -9.0, strict=False).count() == 0
 
 
+def test_many_queries_go_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr("tidelog.operators.scoring.MOST_QUERIES", 3)
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "id long, embedding array<float>")
+    vectors = [(f"q{k}", [1.0, -float(k)]) for k in range(7)]
+    got = sorted((r["query_id"], r["id"]) for r in matching_many(rows, vectors, 0.0).collect())
+    assert got == sorted((f"q{k}", i) for k in range(7) for i in range(5) if i >= k)
+    assert matching_many(rows, [], 0.0).count() == 0
+
+
 def test_bloom_has_no_false_negatives_and_few_positives(spark):
     bits, hashes = bloom.size_for(300)
     rows = spark.range(300).select((F.col("id") % 3).alias("b"), F.concat(F.lit("v"), F.col("id")).alias("v"))

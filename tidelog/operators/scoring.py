@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from tidelog.functions import scalar
 from tidelog.operators.filters import has_embedding, similar
 
-#: Query vectors that one batch may broadcast.
+#: Query vectors that one pass broadcasts; more go in several passes.
 MOST_QUERIES = 10_000
 
 
@@ -32,12 +33,16 @@ def matching(records: DataFrame, vector: list[float], threshold: float, strict:
 
 
 def matching_many(records: DataFrame, vectors: list[tuple[str, list[float]]], threshold: float) -> DataFrame:
-    """records with query_id, once for each query that they match, in one pass and without a shuffle.
+    """records with query_id, once for each query that they match, without a shuffle.
 
-    The vectors are broadcast, at most MOST_QUERIES of them. Scores are matrix products in double over Arrow batches.
+    The vectors are broadcast in blocks of MOST_QUERIES, with one pass over the records for each block.
+    Scores are matrix products in double over Arrow batches.
     """
-    if len(vectors) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries in one batch")
+    blocks = [vectors[at : at + MOST_QUERIES] for at in range(0, max(1, len(vectors)), MOST_QUERIES)]
+    return reduce(DataFrame.unionAll, [_matching_block(records, block, threshold) for block in blocks])
+
+
+def _matching_block(records: DataFrame, vectors: list[tuple[str, list[float]]], threshold: float) -> DataFrame:
     ids = [v[0] for v in vectors]
     matrix = np.array([v[1] for v in vectors], np.float64)
     shared = records.sparkSession.sparkContext.broadcast((ids, matrix))
