@@ -104,6 +104,18 @@ def test_further_members():
         assert spans(f"a {b}") == {("access", 2, 2 + len(b))}
 
 
+def test_layers_without_limits(monkeypatch):
+    raw = KEY.encode()
+    for _ in range(12):
+        raw = gzip.compress(raw)
+    long = "lorem ipsum é, ".encode() * 2_400_000  # 38 MB
+    for packed in (raw, gzip.compress(long + KEY.encode()), gzip.compress(gzip.compress(long + KEY.encode()))):
+        b = base64.b64encode(packed).decode()
+        assert spans(f"a {b}") == {("access", 2, 2 + len(b))}
+    monkeypatch.setattr("tidelog.llm.secrets._inflated", lambda chunks: chunks)  # data that inflates to itself
+    assert spans(base64.b64encode(KEY.encode()).decode()) == {("access", 0, 28)}
+
+
 def test_cycles_and_rubbish_end():
     for text in ("%" * 500, "%2525252525", "\\u005cu005c" * 50, "A" * 4000, "=" * 100, "%FF%FE", "\\ud800", "H4sIAAAAAAAA" * 5):
         find_secrets(text)

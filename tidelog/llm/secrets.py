@@ -13,11 +13,12 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -46,8 +47,10 @@ RUN = re.compile(r"[A-Za-z0-9+/_-]+")
 LEAST = 16
 #: Bytes that decompressors take and give at a time.
 FEED, PIECE = 1 << 16, 1 << 20
-#: Bytes that one decompressed layer may have; more is an archive and no quoted secret.
+#: Bytes up to which a decompressed layer is scanned as one text; longer ones go piece by piece.
 LAYER_BYTES = 32 << 20
+#: Where a long layer may be cut: after a character or a single space that no pattern and no encoding can contain there.
+CUT = re.compile(r"(?<=[^\s:=])\x20(?=[^\s:=])|[^A-Za-z0-9+/_=%\\.:\"'\s-]")
 
 
 @dataclass(frozen=True)
@@ -127,6 +130,49 @@ def _fed(raw: bytes) -> Iterator[bytes]:
     return (raw[at : at + FEED] for at in range(0, len(raw), FEED))
 
 
+def _innermost(raw: bytes) -> tuple[bytes | None, Callable[[], Iterator[bytes]]]:
+    """What is left of compressed data when nothing inflates any more: the bytes if they are few, and a way to read them from the start.
+
+    Data that comes again, as of files that inflate to themselves, ends the loop.
+    """
+    whole, read, seen = raw, lambda: _fed(raw), {hashlib.sha256(raw).digest()}
+    while True:
+        digest, n, held = hashlib.sha256(), 0, []
+        for piece in _inflated(read()):
+            digest.update(piece)
+            n += len(piece)
+            held.append(piece)
+            if n > LAYER_BYTES:
+                held.clear()
+        if not n or digest.digest() in seen:
+            return whole, read
+        seen.add(digest.digest())
+        if n <= LAYER_BYTES:
+            whole = b"".join(held)
+            read = lambda whole=whole: _fed(whole)
+        else:
+            whole, read = None, lambda read=read: _inflated(read())
+
+
+def _long_texts(read: Callable[[], Iterator[bytes]]) -> Iterator[str]:
+    """A long layer as texts of about LAYER_BYTES, cut where no secret and no encoded run can lie across; without such a place they get longer."""
+    wide = any(b"\0" in chunk for chunk in read())
+    for kind in ("utf-8", "utf-16-le", "utf-16-be") if wide else ("utf-8",):
+        decoder, held = codecs.getincrementaldecoder(kind)("replace"), ""
+        for chunk in read():
+            new = decoder.decode(chunk)
+            held += new
+            if len(held) >= LAYER_BYTES:
+                cut = 0
+                for m in CUT.finditer(held, max(0, len(held) - len(new) - 2)):
+                    cut = m.end()
+                if cut:
+                    yield held[:cut]
+                    held = held[cut:]
+        if held := held + decoder.decode(b"", True):
+            yield held
+
+
 def _replaced(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     """The layer with every run of the pattern decoded; decode gives (text, first, last) pieces, offsets within the run."""
     text, starts, ends, at = [], [], [], 0
@@ -214,15 +260,10 @@ def _blobs(layer: Layer) -> Iterator[Layer]:
             raw = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        packed = raw
-        for _ in range(8):  # compressed data may itself be compressed
-            unpacked = b"".join(_inflated(_fed(raw)))[:LAYER_BYTES]
-            if not unpacked:
-                break
-            raw = unpacked
-        if raw is packed and start and ESCAPED.match(layer.text, start - 1) and not _clean(raw):
+        whole, read = _innermost(raw)
+        if whole is raw and start and ESCAPED.match(layer.text, start - 1) and not _clean(raw):
             continue  # its first two digits are an escape's; the run without them comes once that is undone
-        for text in _texts(raw):
+        for text in _long_texts(read) if whole is None else _texts(whole):
             n = len(text)
             yield Layer(text, np.broadcast_to(layer.start[start], n), np.broadcast_to(layer.end[end - 1], n))
 
@@ -293,7 +334,7 @@ def scan_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs without `text`, plus n_assign, n_access, n_hex and base_sha256 of the base spans, all spans, and the redacted text.
 
     A null text counts as empty and stays null when redacted. Whole texts are scanned whatever their
-    length, layer by layer; a single decompressed layer is read up to LAYER_BYTES bytes. Repeated rows
+    length, layer by layer; decompressed layers of more than LAYER_BYTES bytes go piece by piece. Repeated rows
     are scanned each; an empty table gives an empty result. Columns of docs that have the name of a new
     column are replaced.
     """
