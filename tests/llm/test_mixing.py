@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidelog.llm.mixing import MILLION, TOLERANCE, fit_domains, fit_rates, mixed_documents, mixing, rate_column
+from tidelog.llm.mixing import DOMAINS, MILLION, REST, TOLERANCE, fit_domains, fit_rates, mixed_documents, mixing, rate_column
 from tidelog.llm.queries import SHARES, domain_labels
 
 
@@ -87,3 +87,17 @@ def test_documents_are_repeated_as_often_as_their_copies(spark):
     want = {r["doc_id"]: r["copies"] for r in rows.where("copies > 0").collect()}
     got = {r["doc_id"]: r["count"] for r in mixed_documents(docs, labels, SHARES).groupBy("doc_id").count().collect()}
     assert got == want
+
+
+def test_rare_domains_share_one(spark):
+    """No label is dropped: beyond DOMAINS domains the rest are told apart from the others, not from each other."""
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("word"), F.col("id") % 40, F.lit(" text")).alias("text"))
+    labels = docs.select("doc_id", F.concat(F.lit("d"), F.col("doc_id") % 40).alias("domain"))
+    model = fit_domains(docs, labels)
+    assert len(model.domains) == DOMAINS + 1 and REST in model.domains
+
+
+def test_residual_of_targets_out_of_reach(spark):
+    rows = spark.createDataFrame([(10, [MILLION, 0]), (20, [MILLION, 0])], "n_tokens long, membership array<long>")
+    steps = fit_rates(rows, ["a", "b"], {"a": 0.5, "b": 0.5})
+    assert abs(steps.residual - 0.5) < 0.01

@@ -9,7 +9,6 @@ independently (and remembered, as they recur), and the ids are concatenated.
 from __future__ import annotations
 
 import array
-import functools
 import hashlib
 import heapq
 import json
@@ -23,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm.common import lean, worker_cache
+
 #: The tokenizer's pre-tokenisation: contractions, letters, single digits, other marks (fixed values).
 #: The rank of pairs that are never joined; symbols of a fragment up to which it is merged by scans.
 NEVER, SHORT = 1 << 60, 64
@@ -207,10 +208,13 @@ def load_spec(path: str) -> str:
         return f.read()
 
 
-@functools.lru_cache(maxsize=2)
 def _codec(spec: str) -> BoundaryBpe:
-    """One encoder for each Python worker and tokenizer."""
-    return BoundaryBpe(spec)
+    """One encoder for each Python worker and tokenizer; it goes once the worker turns to another operator."""
+    kept = worker_cache("bpe")
+    if spec not in kept:
+        kept.clear()
+        kept[spec] = BoundaryBpe(spec)
+    return kept[spec]
 
 
 def _added_columns(batches: Iterator[pa.RecordBatch], spec, text: str, keep: list[str], full: bool) -> Iterator[pa.RecordBatch]:
@@ -253,5 +257,5 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, text: str = "text", f
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"{c} {types.get(c, 'string')}" for c in new])
     spec = docs.sparkSession.sparkContext.broadcast(load_spec(tokenizer_path))
     return docs.select(*[F.col(f"`{c}`") for c in [*keep, text]]).mapInArrow(
-        lambda it: _added_columns(it, spec, text, keep, full), schema
+        lean(lambda it: _added_columns(it, spec, text, keep, full), "bpe"), schema
     )

@@ -1,10 +1,13 @@
-"""What several operators share: staged tables, word hashing, a `let` for Spark lambdas."""
+"""What several operators share: staged tables, lean Python tasks, word hashing, a `let` for Spark lambdas."""
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +57,44 @@ def release(spark: SparkSession) -> None:
     files.delete(spark, home(spark))
 
 
+_worker_caches: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What one operator keeps in a Python worker from task to task; lean() drops the other operators'."""
+    return _worker_caches.setdefault(owner, {})
+
+
+def lean(fn: Callable[[Iterator], Iterator], owner: str = "") -> Callable[[Iterator], Iterator]:
+    """fn for mapInArrow or mapInPandas, whose worker gives memory back.
+
+    Spark reuses Python workers for all stages that follow, so what one task leaves in an allocator or a
+    cache would stand beside all later ones. Arrow takes its memory from the system's allocator here, caches
+    of other operators go before the task, and free memory is returned after it.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        pa.set_memory_pool(pa.system_memory_pool())
+        for other in [o for o in _worker_caches if o != owner]:
+            del _worker_caches[other]
+        try:
+            yield from fn(batches)
+        finally:
+            _powers.clear()
+            gc.collect()
+            _trim()
+
+    return run
+
+
+def _trim() -> None:
+    """Return free memory to the system, where its C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once, also when body uses it inside other lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -109,8 +150,8 @@ def with_row_info(docs: DataFrame, info: DataFrame, column: str, bits: int = 26)
         for batch in it:
             yield batch.filter(pa.array(may_hold(has.value, batch.column("text_hash").to_numpy()) == hit))
 
-    plain = docs.mapInArrow(lambda it: part(it, False), docs.schema).withColumn(column, F.lit(None).cast(info.schema[column].dataType))
-    found = docs.mapInArrow(lambda it: part(it, True), docs.schema)
+    plain = docs.mapInArrow(lean(lambda it: part(it, False)), docs.schema).withColumn(column, F.lit(None).cast(info.schema[column].dataType))
+    found = docs.mapInArrow(lean(lambda it: part(it, True)), docs.schema)
     by_id = "doc_id" in info.columns
     right = info.select(F.col("doc_id" if by_id else "text_hash").alias("__id"), F.col("text_hash").alias("__hash"), column)
     same = F.col("text_hash") == F.col("__hash")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import filter_bits, may_hold, mix64, shingle_set, shingles, splittable, staged
+from tidelog.llm.common import filter_bits, lean, may_hold, mix64, shingle_set, shingles, splittable, staged
 from tidelog.llm.graph import components
 
 ORDERS = 3
@@ -88,7 +88,7 @@ def _counted(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
 
 def token_levels(docs: DataFrame, k: int) -> np.ndarray:
     """For each counter of the sketch over all documents, its level as the upper 16 bits of sort keys."""
-    sums = docs.select("text").mapInArrow(lambda it: _counted(it, k), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    sums = docs.select("text").mapInArrow(lean(lambda it: _counted(it, k)), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     found = sums.toArrow()
     counts = np.zeros(1 << SKETCH_BITS, np.float64)
     counts[found["bucket"].to_numpy()] = found["n"].to_numpy()
@@ -319,7 +319,7 @@ def _tiled(rows: DataFrame, group: str, sim: Similarity) -> DataFrame:
 
 def _in_python(rows: DataFrame, group: str, fn, schema: str) -> DataFrame:
     """fn over whole tiles, dealt evenly; a partition streams its tiles one after another."""
-    return rows.repartition(group, "tile").sortWithinPartitions(group, "tile").mapInPandas(fn, schema)
+    return rows.repartition(group, "tile").sortWithinPartitions(group, "tile").mapInPandas(lean(fn), schema)
 
 
 def _row_join(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
@@ -345,7 +345,7 @@ def jaccard_groups(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame
     levels = spark.sparkContext.broadcast(token_levels(docs, sim.k))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, text_hash long, n long, sid long, p0 array<long>"
-    rows = staged(docs.select("doc_id", "text_hash", "text").mapInArrow(lambda it: _featured(it, sim, levels), schema), "prefixes")
+    rows = staged(docs.select("doc_id", "text_hash", "text").mapInArrow(lean(lambda it: _featured(it, sim, levels)), schema), "prefixes")
 
     # one row stands for each class
     some = rows.where("n > 0")
@@ -365,7 +365,7 @@ def jaccard_groups(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame
     counted = some.select(F.explode("p0").alias("token")).groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("n"))
     often = counted.where("n > 1").select(F.shiftleft(F.col("place").cast("long"), 64 - width).alias("token"))
     often = share(filter_bits(often, "token", width))
-    postings = some.select("sid", "n", "p0").mapInArrow(lambda it: _postings(it, often, width), "token long, sid long, n long").distinct()
+    postings = some.select("sid", "n", "p0").mapInArrow(lean(lambda it: _postings(it, often, width)), "token long, sid long, n long").distinct()
     postings = staged(postings, "postings")
     shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
     listed = staged(postings.join(splittable(shared, "token"), "token"), "listed")
@@ -392,7 +392,7 @@ def jaccard_groups(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame
     asked = staged(classes.join(asked, "sid").select("sid", "doc_id", "text_hash"), "asked")
     asked_bits = share(filter_bits(asked, "text_hash", FILTER_BITS))
     prefixes = docs.select("doc_id", "text_hash", "text").mapInArrow(
-        lambda it: _asked(it, sim, levels, asked_bits), f"doc_id {id_type}, text_hash long, p0 array<int>, p1 array<int>, p2 array<int>"
+        lean(lambda it: _asked(it, sim, levels, asked_bits)), f"doc_id {id_type}, text_hash long, p0 array<int>, p1 array<int>, p2 array<int>"
     )
     prefixes = _row_join(prefixes, asked, "inner").drop("doc_id", "text_hash").dropDuplicates(["sid"])
     prefixes = staged(prefixes, "asked-prefixes")
@@ -414,7 +414,7 @@ def jaccard_groups(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame
     tiles = _tiled(chosen.select("doc_id", "text_hash", "sid", "n", "copies", "cluster"), "cluster", sim)
     wanted = share(filter_bits(chosen, "text_hash", FILTER_BITS))
     texts = docs.select("doc_id", "text_hash", "text").mapInArrow(
-        lambda it: _maybe(it, "text_hash", wanted), f"doc_id {id_type}, text_hash long, text string"
+        lean(lambda it: _maybe(it, "text_hash", wanted)), f"doc_id {id_type}, text_hash long, text string"
     )
     full = _row_join(texts, tiles, "inner").select("sid", "n", "copies", "cluster", "tile", "side", "same", "text")
     checked = staged(_in_python(full, "cluster", lambda it: _verified(it, sim, levels), "a long, b long, links long"), "links")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import mix64, staged
+from tidelog.llm.common import lean, mix64, staged
 
 BUCKETS = 1 << 14
 #: Labelled rows that the trigram model is fitted on, chosen by a hash of the row.
@@ -101,7 +101,7 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> TextModel:
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(some), pa.string()), "bucket": pa.array(some), "n": pa.array(total[some])})
 
-    counts = labelled.where(at <= last).select("text", "declared").mapInArrow(counted, "lang string, bucket long, n long")
+    counts = labelled.where(at <= last).select("text", "declared").mapInArrow(lean(counted), "lang string, bucket long, n long")
     found = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     top = [r[0] for r in found.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
     table = found.where(F.col("lang").isin(top)).toArrow()
@@ -140,7 +140,7 @@ def _text_posteriors(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.Re
 
 def host_priors(rows: DataFrame, model, k: int) -> DataFrame:
     """host, prior: array of k log priors, hosts smoothed towards their domains and those towards the corpus."""
-    votes = rows.select("host", "text").mapInArrow(lambda it: _text_posteriors(it, model), "host string, votes array<long>")
+    votes = rows.select("host", "text").mapInArrow(lean(lambda it: _text_posteriors(it, model)), "host string, votes array<long>")
     sums = [F.sum(F.element_at("votes", i + 1)).alias(f"v{i}") for i in range(k)]
     hosts = staged(votes.groupBy("host").agg(*sums), "hosts").withColumn("domain", _domain(F.col("host")))
     again = [F.sum(f"v{i}").alias(f"v{i}") for i in range(k)]
@@ -220,7 +220,7 @@ def identify(rows: DataFrame, row_id: Column, text: str, declared: Column, host:
         asked = asked.withColumn("__prior", F.lit(None).cast("array<double>"))
     fields = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
     schema = ", ".join([*fields, "detected string, confidence double, n_trigrams long, kept boolean"])
-    return asked.drop("__host").mapInArrow(lambda it: _judged(it, model, keep, text), schema)
+    return asked.drop("__host").mapInArrow(lean(lambda it: _judged(it, model, keep, text)), schema)
 
 
 def identify_documents(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import staged, with_row_info
+from tidelog.llm.common import lean, staged, with_row_info
 
 #: How units end: a line at each line feed, a paragraph at each run of two or more.
 BREAKS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n{2,}")}
@@ -90,7 +90,7 @@ def remove_repeated_units(docs: DataFrame, kind: str = "line", min_words: int =
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, text_hash long, place long, start long, end long, d1 long, d2 long"
-    found = staged(docs.mapInArrow(lambda it: _hashed(it, kind, min_words), schema), "units")
+    found = staged(docs.mapInArrow(lean(lambda it: _hashed(it, kind, min_words)), schema), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "text_hash", "place")
     first = found.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first <> last")
     first = first.select("d1", "d2", F.col("first.text_hash").alias("f_hash"), F.col("first.place").alias("f_place"), F.col("first.doc_id").alias("f_id"))
@@ -100,4 +100,4 @@ def remove_repeated_units(docs: DataFrame, kind: str = "line", min_words: int =
     per_text = gone.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
     told = with_row_info(docs, staged(per_text, "gone"), "gone")
     out = f"doc_id {id_type}, n_units long, n_removed long, removed string, kept string, kept_sha256 string"
-    return told.select("doc_id", "text", "gone").mapInArrow(lambda it: _rest(it, kind), out)
+    return told.select("doc_id", "text", "gone").mapInArrow(lean(lambda it: _rest(it, kind)), out)

@@ -20,14 +20,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import mix64, set_aside, staged, word_hashes
+from tidelog.llm.common import lean, mix64, set_aside, staged, word_hashes
 
 #: Buckets of the hashed words, and the classifier's sample: labelled rows of each domain, least hashes first.
 BUCKETS, SAMPLE = 1 << 17, 1500
-DOMAINS = 32
+#: Domains that the classifier tells apart; the rarest labels beyond share one more, REST.
+DOMAINS, REST = 32, "(rest)"
 STEPS, RATE, DECAY = 400, 0.5, 1e-3
-#: Iterations of the fit, and the residual (as a share of all tokens) at which it ends.
-ITERATIONS, TOLERANCE = 40, 1e-4
+#: The residual (as a share of all tokens) at which the fit ends; or it ends when RECENT steps have together lessened the cost by less than GAIN of it.
+TOLERANCE, GAIN, RECENT = 1e-4, 0.05, 10
+#: Steps are halved down to this length.
+SHORTEST = 2.0**-12
 MILLION = 1_000_000
 _MARKS = re.compile(rb"[!-/:-@\[-`{-~]+")
 #: Shape features besides the words: a constant, five shares of a text's bytes, its repeated words and lines, its shortness.
@@ -72,11 +75,16 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 def fit_domains(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DomainModel:
     """The classifier from docs (doc_id, text) and labels (doc_id, domain).
 
-    It is fitted on at most `sample` labelled rows of each of the commonest DOMAINS domains, with the domains'
-    shares among all labels as priors. Without labelled documents there is one domain, "all".
+    It is fitted on at most `sample` labelled rows of each domain, with the domains' shares among all
+    labels as priors. Of more than DOMAINS domains the commonest are told apart, and all rows of the others
+    are one domain, REST. Without labelled documents there is one domain, "all".
     """
     labels = labels.where(F.col("doc_id").isNotNull() & F.col("domain").isNotNull()).select("doc_id", F.col("domain").cast("string"))
-    counts = {r[0]: r[1] for r in labels.groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(DOMAINS).collect()}
+    sizes = labels.groupBy("domain").count().orderBy(F.desc("count"), "domain")
+    counts = {r[0]: r[1] for r in sizes.limit(DOMAINS).collect()}
+    if others := labels.count() - sum(counts.values()):
+        labels = labels.withColumn("domain", F.when(F.col("domain").isin(list(counts)), F.col("domain")).otherwise(REST))
+        counts[REST] = counts.get(REST, 0) + others
     domains = sorted(counts)
     chosen = None
     for d in domains:
@@ -90,6 +98,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Dom
                 {
                     "doc_id": batch.column("doc_id").cast(pa.string()),
                     "domain": batch.column("domain"),
+                    "text_hash": batch.column("text_hash"),
                     "words": pa.array([f[0] for f in found], pa.list_(pa.int32())),
                     "shapes": pa.array([f[1] for f in found], pa.list_(pa.float64())),
                 }
@@ -98,9 +107,11 @@ def fit_domains(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Dom
     rows = None
     if chosen is not None:
         few = F.broadcast(chosen.distinct())  # at most DOMAINS * sample ids
-        # one text for each of them, so that repeated ids don't lengthen the sample
-        found = docs.select("doc_id", "text").join(few, "doc_id").groupBy("doc_id", "domain").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-        rows = found.mapInArrow(featured, "doc_id string, domain string, words array<int>, shapes array<double>").toArrow()
+        found = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(few, "doc_id").select("doc_id", "domain", "text_hash", "text")
+        found = found.mapInArrow(lean(featured), "doc_id string, domain string, text_hash long, words array<int>, shapes array<double>")
+        # one text for each of them, so that repeated ids don't lengthen the sample; only features are shuffled, never texts
+        one = F.min_by(F.struct("words", "shapes"), "text_hash").alias("f")
+        rows = found.groupBy("doc_id", "domain").agg(one).select("doc_id", "domain", "f.words", "f.shapes").toArrow()
     if rows is None or not rows.num_rows:
         return DomainModel(["all"], np.zeros((1, BUCKETS)), np.zeros((1, SHAPES)))
     rows = rows.sort_by([("doc_id", "ascending"), ("domain", "ascending")])
@@ -162,7 +173,7 @@ def memberships(docs: DataFrame, model, keep: list[str]) -> DataFrame:
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
     text = "text" if "text" in keep else "__text"
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], *[F.col("text").alias(text)] * ("text" not in keep))
-    return rows.mapInArrow(lambda it: _posteriors(it, model, keep, text), ", ".join([*fields, "n_tokens long, membership array<long>"]))
+    return rows.mapInArrow(lean(lambda it: _posteriors(it, model, keep, text)), ", ".join([*fields, "n_tokens long, membership array<long>"]))
 
 
 def rate_column(steps: list[np.ndarray]) -> Column:
@@ -175,15 +186,21 @@ def rate_column(steps: list[np.ndarray]) -> Column:
     return F.round(rate, 6)
 
 
-def fit_rates(rows: DataFrame, domains: list[str], shares: dict[str, float]) -> list[np.ndarray]:
+class Steps(list):
+    """The steps of a fit; residual is what is left of the largest gap to a target, as a share of all tokens."""
+
+    residual: float = 0.0
+
+
+def fit_rates(rows: DataFrame, domains: list[str], shares: dict[str, float]) -> Steps:
     """The steps of projected gradient least squares over rows (n_tokens, membership).
 
     Each document's step is its gradient divided by its tokens, in the metric of the second moments of
     the documents whose rate is not 0, so that a step of length 1 would meet the targets if none were cut at 0. A
     step that doesn't lessen the residual is taken back and halved. Domains that shares don't name share what is left of
-    1 as they do now. Targets that no rates can meet are approached for ITERATIONS steps; ending
-    there keeps the rates of like documents near each other, where the very optimum would put all
-    weight on a few.
+    1 as they do now. The fit ends at a residual of TOLERANCE, or where it is stationary: RECENT steps gain less
+    than GAIN of the cost, or none gains however short. Targets that no rates can meet end there, and the
+    residual tells how far from them.
     """
     k = len(domains)
     p = [F.element_at("membership", i + 1) / MILLION for i in range(k)]
@@ -200,31 +217,34 @@ def fit_rates(rows: DataFrame, domains: list[str], shares: dict[str, float]) ->
 
     mass, second = state([])
     total = mass.sum()
+    steps = Steps()
     if total <= 0:
-        return []
+        return steps
     named = {d: max(0.0, shares[d]) for d in domains if d in shares}
     left, others = max(0.0, 1 - sum(named.values())), sum(mass[i] for i, d in enumerate(domains) if d not in named)
     target = np.array([named[d] if d in named else left * mass[i] / others if others else 0.0 for i, d in enumerate(domains)])
     if not target.sum():
-        return []
+        return steps
     target *= total / target.sum()
     metric, length = np.linalg.pinv(second, rcond=1e-9), 1.0
     cost = lambda m: float((m - target) @ metric @ (m - target))
-    steps: list[np.ndarray] = []
-    for _ in range(ITERATIONS):
-        if np.abs(mass - target).max() <= TOLERANCE * total:
+    costs = [cost(mass)]
+    while np.abs(mass - target).max() > TOLERANCE * total and length >= SHORTEST:
+        if len(costs) > RECENT and costs[-1] > (1 - GAIN) * costs[-1 - RECENT]:
             break
         step = length * (np.linalg.pinv(second, rcond=1e-6) @ (mass - target))
         new_mass, new_second = state([*steps, step])
         if cost(new_mass) < cost(mass):
             steps.append(step)
+            costs.append(cost(new_mass))
             mass, second, length = new_mass, new_second, min(1.0, 2 * length)
         else:
             length /= 2
+    steps.residual = float(np.abs(mass - target).max() / total)
     return steps
 
 
-def mixing(docs: DataFrame, labels: DataFrame, shares: dict[str, float], sample: int = SAMPLE) -> tuple[DataFrame, list[str], list[np.ndarray]]:
+def mixing(docs: DataFrame, labels: DataFrame, shares: dict[str, float], sample: int = SAMPLE) -> tuple[DataFrame, list[str], Steps]:
     """(doc_id, text_hash, n_tokens, membership, rate, copies), domains, steps.
 
     docs has doc_id and text, labels doc_id and domain; shares are the domains' target shares of all

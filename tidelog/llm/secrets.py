@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm.common import lean
+
 #: The kinds in the order in which they sort, each with its pattern, the group that is measured and its least length.
 KINDS = ("assign", "access", "hex")
 PATTERNS = {
@@ -342,4 +344,4 @@ def scan_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     keep = [c for c in docs.columns if c not in new and c != text]
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
     fields += [f"{c} {'long' if c[:2] == 'n_' else 'string'}" for c in new]
-    return docs.select(*[F.col(f"`{c}`") for c in [*keep, text]]).mapInArrow(lambda it: _scanned(it, text, keep), ", ".join(fields))
+    return docs.select(*[F.col(f"`{c}`") for c in [*keep, text]]).mapInArrow(lean(lambda it: _scanned(it, text, keep)), ", ".join(fields))

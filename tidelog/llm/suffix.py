@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.anchors import anchors
-from tidelog.llm.common import filter_bits, may_hold, staged, with_row_info
+from tidelog.llm.common import filter_bits, lean, may_hold, staged, with_row_info
 
 LENGTH = 400
 #: Bits of the filters of anchor and text hashes.
@@ -216,7 +216,7 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, width: int) -> Iterator
 def _sorted_ranges(distinct: DataFrame, length: int) -> DataFrame:
     """key, sub, r0, r1 from distinct (key, sub, content)."""
     return distinct.select("key", "sub", "content").repartition("key").sortWithinPartitions("key", "sub").mapInArrow(
-        lambda it: _sorter(it, length), "key long, sub long, r0 long, r1 long"
+        lean(lambda it: _sorter(it, length)), "key long, sub long, r0 long, r1 long"
     )
 
 
@@ -269,14 +269,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int | None = Non
     long_enough = docs.where(F.octet_length("text") >= length)
 
     # hashes that occur twice or more, and whether with different contexts
-    hashed = long_enough.select("text").mapInArrow(lambda it: _hashed(it, length, gram), "h long, c long")
+    hashed = long_enough.select("text").mapInArrow(lean(lambda it: _hashed(it, length, gram)), "h long, c long")
     seen = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"))
     seen = staged(seen.where("n > 1").select("h", (F.col("lo") != F.col("hi")).alias("mixed")), "anchors")
     share = spark.sparkContext.broadcast
     repeated, mixed = share(filter_bits(seen, "h", FILTER_BITS)), share(filter_bits(seen.where("mixed"), "h", FILTER_BITS))
 
     schema = "text_hash long, h long, c long, span long, place long, content binary"
-    found = staged(long_enough.select("text_hash", "text").mapInArrow(lambda it: _contexts(it, length, gram, repeated, mixed), schema), "contexts")
+    found = staged(long_enough.select("text_hash", "text").mapInArrow(lean(lambda it: _contexts(it, length, gram, repeated, mixed)), schema), "contexts")
     counts = staged(found.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n")), "counts")
     per_hash = staged(counts.groupBy("h").agg(F.count(F.lit(1)).alias("distinct")).where(F.col("distinct") > 1), "hashes")
     texts = found.where(F.col("content").isNotNull()).select("h", "c", "place", "content").dropDuplicates(["h", "c"])
@@ -292,7 +292,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int | None = Non
             break
         pieces = staged(
             many.select("h", "c", "place", "content").mapInArrow(
-                lambda it, width=width: _cut(it, length, width), "h long, c long, key long, sub long, off long, content binary"
+                lean(lambda it, width=width: _cut(it, length, width)), "h long, c long, key long, sub long, off long, content binary"
             ),
             "pieces",
         )
@@ -324,4 +324,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int | None = Non
     out = f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     out += ", spans array<struct<start:long,end:long>>, kept binary" if full else ""
     told = with_row_info(docs, per_text, "ranges")
-    return told.select("doc_id", "text", "ranges").mapInArrow(lambda it: _kept(it, length, full), out)
+    return told.select("doc_id", "text", "ranges").mapInArrow(lean(lambda it: _kept(it, length, full)), out)

@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm.common import lean
+
 CANDIDATE_TILE, QUERY_TILE = 4096, 256
 PAIR_SCHEMA = "query_id long, vec_id long, score long, part int"
 LONG_MAX, LONG_MIN = (1 << 63) - 1, -(1 << 63)
@@ -69,7 +71,7 @@ def _tiles(batches: Iterator[pa.RecordBatch], size: int, every: int, side: str)
 
 def tiles(vectors: DataFrame, size: int, every: int, side: str) -> DataFrame:
     schema = f"{side}_dim int, {side}_ids binary, {side}_values binary, {side}_n int"
-    return vectors.mapInArrow(lambda it: _tiles(it, size, every, side), schema)
+    return vectors.mapInArrow(lean(lambda it: _tiles(it, size, every, side)), schema)
 
 
 def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -156,7 +158,7 @@ def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, groups: int | N
     c = tiles(vectors, CANDIDATE_TILE, 1, "c").withColumn("part", F.pmod(F.xxhash64("c_ids"), F.lit(groups)).cast("int"))
     q = tiles(vectors, QUERY_TILE, every, "q").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     pairs = q.join(c, "part").where(F.col("q_dim") == F.col("c_dim"))
-    lists = pairs.sortWithinPartitions("part", "q_ids").mapInArrow(lambda it: _search(it, k), PAIR_SCHEMA)
+    lists = pairs.sortWithinPartitions("part", "q_ids").mapInArrow(lean(lambda it: _search(it, k)), PAIR_SCHEMA)
     # tree: first sqrt(groups) nodes for each query, then one
     width = max(1, round(groups**0.5))
     for keys in (["query_id", F.pmod(F.col("part"), F.lit(width)).alias("node")], ["query_id"]):
