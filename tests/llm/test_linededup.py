@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 import pytest
 
@@ -21,7 +22,26 @@ def brute(rows, kind, least):
             seen.setdefault(plain, 1)
         rest = "".join([*kept, text[at:]])
         out[None if null else i, text] = (len(found) if text else 0, len(gone), ",".join(gone), rest, hashlib.sha256(rest.encode()).hexdigest())
-    return sorted(((r[0], *out[r[0], r[1] or ""]) for r in rows), key=str)
+    holders = {}
+    for r in set((i, t or "") for i, t in rows):
+        for words in sentence_runs(r[1], 20):
+            holders.setdefault(words, set()).add(r)
+    shared = {r for held in holders.values() if len(held) > 1 for r in held}
+    return sorted(((r[0], *out[r[0], r[1] or ""], (r[0], r[1] or "") in shared) for r in rows), key=str)
+
+
+def sentence_runs(text, least):
+    """All shortest runs of whole sentences with at least `least` words, each found on its own."""
+    sentences = [s.split() for s in re.split(r"[.!?]+(?:[ \t-\r]+|\Z)|\n+", text.lower()) if s.split()]
+    out = set()
+    for i in range(len(sentences)):
+        run = []
+        for sentence in sentences[i:]:
+            run += sentence
+            if len(run) >= least:
+                out.add(" ".join(run))
+                break
+    return out
 
 
 @pytest.mark.parametrize("kind", ["line", "paragraph"])
@@ -40,5 +60,15 @@ def test_earliest_stays_and_offsets_are_the_original_ones(spark):
     assert got[None]["kept"] == "" and got[None]["n_units"] == 1
 
 
+def test_passages_inside_lines(spark):
+    """A passage of over 50 words within other lines marks its documents and nothing is removed; short common lines don't mark any."""
+    part = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    passage = f"{part('p', 20)}. {part('q', 15)}! {part('r', 17)}."
+    rows = [(1, f"{part('a', 30)} {passage} {part('b', 30)}"), (2, f"{part('c', 9)} {passage} {part('d', 3)}\nshort line."), (3, f"{part('e', 80)}.\nshort line."), (4, passage[:60])]
+    got = {r["doc_id"]: r for r in remove_repeated_units(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["has_passage"] for i in (1, 2, 3, 4)] == [True, True, False, False]
+    assert [got[i]["n_removed"] for i in (1, 2, 3, 4)] == [0, 0, 1, 0]
+
+
 def test_empty_table(spark, odd_documents):
     assert remove_repeated_units(odd_documents.limit(0)).count() == 0

@@ -48,12 +48,26 @@ placed AS (
     count(*) OVER (PARTITION BY doc_id, text) AS n FROM lines),
 plain AS (SELECT *, trim(regexp_replace(lower(line), '\\s+', ' ', 'g')) AS u FROM placed),
 ranked AS (
-  SELECT *, len(string_split(u, ' ')) >= {linededup.MIN_WORDS}
-    AND row_number() OVER (PARTITION BY u ORDER BY doc_id NULLS LAST, place) > 1 AS gone FROM plain)
-SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE max(n) END AS n_units, count(*) FILTER (WHERE gone) AS n_removed,
+  SELECT *, u <> '' AND row_number() OVER (PARTITION BY u ORDER BY doc_id NULLS LAST, place) > 1 AS gone FROM plain),
+texts AS (SELECT row_number() OVER () AS k, doc_id, text FROM (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents)),
+pieces AS (
+  SELECT k, regexp_split_to_array(lower(text), '[.!?]+(?:[ \\t-\\r]+|$)|\\n+') AS p FROM texts),
+sentences AS (
+  SELECT k, i, list_filter(regexp_split_to_array(piece, '\\s+'), lambda x: x <> '') AS words FROM (
+    SELECT k, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM pieces)),
+counted AS (
+  SELECT k, i, words, (sum(len(words)) OVER (PARTITION BY k ORDER BY i))::BIGINT AS upto FROM sentences WHERE len(words) > 0),
+flat AS (SELECT k, flatten(list(words ORDER BY i)) AS words FROM counted GROUP BY k),
+found AS (
+  SELECT f.k, array_to_string(f.words[a.upto - len(a.words) + 1 : b.upto], ' ') AS passage
+  FROM (SELECT *, upto - len(words) + {linededup.PASSAGE} AS wanted FROM counted) a ASOF JOIN counted b ON a.k = b.k AND a.wanted <= b.upto
+  JOIN flat f ON f.k = a.k),
+shared AS (SELECT DISTINCT k FROM found WHERE passage IN (SELECT passage FROM found GROUP BY passage HAVING count(DISTINCT k) > 1))
+SELECT r.doc_id, CASE WHEN r.text = '' THEN 0 ELSE max(n) END AS n_units, count(*) FILTER (WHERE gone) AS n_removed,
   coalesce(string_agg(s || ':' || (s + length(line)), ',' ORDER BY place) FILTER (WHERE gone), '') AS removed,
-  sha256(coalesce(string_agg(CASE WHEN place + 1 < n THEN line || chr(10) ELSE line END, '' ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM ranked GROUP BY doc_id, text
+  sha256(coalesce(string_agg(CASE WHEN place + 1 < n THEN line || chr(10) ELSE line END, '' ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256,
+  bool_or(t.k IN (SELECT k FROM shared)) AS has_passage
+FROM ranked r JOIN texts t ON t.doc_id IS NOT DISTINCT FROM r.doc_id AND t.text = r.text GROUP BY r.doc_id, r.text
 """
 
 OP4 = """
