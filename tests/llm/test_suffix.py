@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -43,6 +44,34 @@ def test_against_all_windows(spark, length, more):
     assert got(spark.createDataFrame(data, "doc_id long, text string"), length, **more) == want
 
 
+def covered_words(texts, short):
+    """The most whole words of a run that repeated strings of `short` bytes cover, for each text."""
+    raw = [(t or "").encode() for t in texts]
+    counts = Counter(b[i : i + short] for b in raw for i in range(len(b) - short + 1))
+    out = []
+    for b in raw:
+        on = bytearray(len(b))
+        for i in range(len(b) - short + 1):
+            if counts[b[i : i + short]] > 1:
+                on[i : i + short] = b"\1" * short
+        places = [m.span() for m in re.finditer(rb"\S+", b)]
+        runs = [m.span() for m in re.finditer(b"\1+", bytes(on))]
+        out.append(max((sum(a <= x and y <= z for x, y in places) for a, z in runs), default=0))
+    return out
+
+
+@pytest.mark.parametrize("most", [2048, 3, 1])
+def test_both_lengths_in_one_sort(spark, most):
+    """Spans of 33 bytes stay what they are, and the shorter strings tell the passages."""
+    rng = random.Random(8)
+    part = lambda n: " ".join(rng.choice(["a", "bc", "déf", "ghij"]) for _ in range(n))
+    shared = [part(60), part(52), part(30)]
+    data = [(i, f"{part(rng.randrange(40))} {rng.choice(shared)} {part(rng.randrange(30))}") for i in range(40)]
+    data += [(50, shared[0]), (51, None), (52, "a b " * 70), (53, part(300))]
+    want = [(r[0], *w, n > 50) for r, w, n in zip(data, brute([r[1] for r in data], 33), covered_words([r[1] for r in data], 20))]
+    assert got(spark.createDataFrame(data, "doc_id long, text string"), 33, short=20, most_contexts=most) == Counter(want)
+
+
 def test_documents(spark, documents):
     data = [(r["doc_id"], r["text"]) for r in documents.collect()]
     want = Counter((r[0], *w) for r, w in zip(data, brute([r[1] for r in data], 400)))

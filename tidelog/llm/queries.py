@@ -67,7 +67,7 @@ def op6_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the 400-byte strings that occur elsewhere too."""
-    return suffix.remove_repeats(table(spark, sf_dir, "documents"), length=400, full=False)
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"), length=400, full=False, short=suffix.PASSAGE_BYTES)
 
 
 def op8_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
