@@ -1,7 +1,9 @@
 import re
 from collections import Counter
 
-from tidelog.llm.quality import METRICS, quality_rules, rule_counts, sketches, thresholds
+from pyspark.sql import functions as F
+
+from tidelog.llm.quality import METRICS, base_failed, metric_columns, quality_rules, rule_counts, sketches, thresholds
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -36,17 +38,39 @@ def test_verdicts(spark, odd_documents):
     assert quality_rules(odd_documents.limit(0)).count() == 0
 
 
-def test_thresholds_are_the_quartiles_of_the_group(spark, documents):
-    counts = rule_counts(documents)
-    from tidelog.llm.quality import FENCE, SLACK, base_failed, metric_columns
+def quartiles(values):
+    ordered = sorted(values)
+    return [ordered[-(-q * len(ordered) // 4) - 1] for q in (1, 2, 3)]
+
 
-    values = counts.where(~base_failed()).select("lang", *[v.alias(m) for m, v in metric_columns().items()]).collect()
+def rounded(n):
+    """The four leading bits."""
+    shift = max(0, n.bit_length() - 4)
+    return n >> shift << shift
+
+
+def test_thresholds_follow_the_group(spark, documents):
+    counts = rule_counts(documents)
+    columns = [v.alias(m) for m, v in metric_columns().items()]
+    values = counts.where(~base_failed()).select("lang", "n_lines", F.col("n_words"), *columns).collect()
     for r in thresholds(sketches(counts), ["lang"]).collect():
+        mine = [v for v in values if v["lang"] == r["lang"]]
+        of = {m: quartiles(v[m] for v in mine) for m in METRICS}
+        lines, words, length = quartiles(rounded(v["n_lines"]) for v in mine)[1], quartiles(rounded(v["n_words"]) for v in mine)[1], of["length"][1]
+        least = {"symbols": 10000 // (3 * length), "length": length // 2, "lines": 3000 // lines, "repeats": 30000 // words}
         for m in METRICS:
-            mine = sorted(v[m] for v in values if v["lang"] == r["lang"])
-            q1, q3 = (mine[-(-q * len(mine) // 4) - 1] for q in (1, 3))
-            away = max(FENCE * (q3 - q1), SLACK[m])
-            assert (r[m]["low"], r[m]["high"], r[m]["n"]) == (q1 - away, q3 + away, len(mine))
+            q1, _, q3 = of[m]
+            away = max(3 * (q3 - q1), least[m])
+            assert (r["n"], r[m]["low"], r[m]["high"]) == (len(mine), q1 - away, q3 + away)
+
+
+def test_every_metric_adapts(spark):
+    """Two languages with other word lengths, line counts and sizes have other thresholds for all four metrics."""
+    text = lambda i, words, lines, size: "\n".join(" ".join(f"{i}x{n}y{j}".ljust(size, "z") for j in range(words)) for n in range(lines))
+    rows = [(i, text(i, 8, 4 + i % 2, 6), "a", "s") for i in range(60)] + [(100 + i, text(i, 20, 12 + i % 3, 14), "b", "s") for i in range(60)]
+    counts = rule_counts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    a, b = thresholds(sketches(counts), ["lang"]).orderBy("lang").collect()
+    assert all(a[m]["high"] != b[m]["high"] for m in METRICS)
 
 
 def test_outliers_of_their_group_go_and_others_stay(spark):

@@ -84,20 +84,22 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def _op6() -> str:
-    ratios = {
-        "symbols": "1000 * n_symbols / greatest(word_chars, 1)",
-        "length": "10 * word_chars / greatest(n_words, 1)",
-        "lines": "1000 * n_dup_lines / greatest(n_lines, 1)",
-        "repeats": "1000 * n_repeat_words / greatest(n_words, 1)",
-    }
-    values = "\n  UNION ALL ".join(
-        f"SELECT doc_id, lang, source, '{m}' AS metric, least(floor({r}), {quality.METRICS[m]})::INTEGER AS v FROM counts WHERE NOT base_failed"
-        for m, r in ratios.items()
-    )
-    slack = " ".join(f"WHEN '{m}' THEN {s}" for m, s in quality.SLACK.items())
+    values = {
+        "symbols": "floor(1000 * n_symbols / greatest(word_chars, 1))",
+        "length": "floor(10 * word_chars / greatest(n_words, 1))",
+        "lines": "floor(1000 * n_dup_lines / greatest(n_lines, 1))",
+        "repeats": "floor(1000 * n_repeat_words / greatest(n_words, 1))",
+    } | {c: f"({c} >> greatest(length(bin({c})) - 4, 0)) << greatest(length(bin({c})) - 4, 0)" for c in quality.SIZES}
+    values = "\n  UNION ALL ".join(f"SELECT doc_id, lang, source, '{m}' AS metric, ({v})::BIGINT AS v FROM counts WHERE NOT base_failed" for m, v in values.items())
+    least = f"""CASE metric WHEN 'symbols' THEN floor(10000 / greatest({quality.SYMBOL_WORDS} * word_length, 1)) WHEN 'length' THEN floor(word_length / 2)
+      WHEN 'lines' THEN floor({1000 * quality.LINES} / greatest(lines, 1)) ELSE floor({1000 * quality.WINDOWS} / greatest(words, 1)) END"""
     fence = lambda keys: f"""  SELECT {keys} metric, n, q1 - away AS low, q3 + away AS high FROM (
-    SELECT *, greatest({quality.FENCE} * (q3 - q1), CASE metric {slack} END) AS away FROM (
-      SELECT {keys} metric, count(*) AS n, quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.75) AS q3 FROM vals GROUP BY ALL))"""
+    SELECT {keys} metric, n, q1, q3, greatest({quality.FENCE} * (q3 - q1), {least}) AS away FROM (
+      SELECT *, max(q2) FILTER (WHERE metric = 'length') OVER g AS word_length, max(q2) FILTER (WHERE metric = 'n_lines') OVER g AS lines,
+        max(q2) FILTER (WHERE metric = 'n_words') OVER g AS words FROM (
+          SELECT {keys} metric, count(*) AS n, quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.5) AS q2, quantile_disc(v, 0.75) AS q3 FROM vals GROUP BY ALL)
+      WINDOW g AS ({f'PARTITION BY {keys[:-1]}' if keys else ''}))) WHERE metric NOT IN ('n_lines', 'n_words')"""
+    mixed = lambda own, wider, side: f"floor(({own}.n * {own}.{side} + {quality.LEAN} * {wider}.{side}) / ({own}.n + {quality.LEAN})) AS {side}"
     return f"""
 WITH words AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS t,
@@ -116,12 +118,13 @@ vals AS ({values}),
 own AS ({fence("lang, source,")}),
 by_lang AS ({fence("lang,")}),
 wide AS ({fence("")}),
+in_lang AS (SELECT g.lang, g.metric, {mixed('g', 'a', 'low')}, {mixed('g', 'a', 'high')} FROM by_lang g JOIN wide a ON a.metric = g.metric),
+in_group AS (
+  SELECT o.lang, o.source, o.metric, {mixed('o', 'g', 'low')}, {mixed('o', 'g', 'high')}
+  FROM own o JOIN in_lang g ON g.metric = o.metric AND g.lang IS NOT DISTINCT FROM o.lang),
 judged AS (
-  SELECT c.doc_id, v.metric, CASE WHEN o.n >= {quality.MIN_GROUP} THEN o.low WHEN g.n >= {quality.MIN_GROUP} THEN g.low ELSE a.low END AS low,
-    CASE WHEN o.n >= {quality.MIN_GROUP} THEN o.high WHEN g.n >= {quality.MIN_GROUP} THEN g.high ELSE a.high END AS high, v.v
-  FROM counts c JOIN vals v ON c.doc_id = v.doc_id
-  JOIN own o ON o.metric = v.metric AND o.lang IS NOT DISTINCT FROM c.lang AND o.source IS NOT DISTINCT FROM c.source
-  JOIN by_lang g ON g.metric = v.metric AND g.lang IS NOT DISTINCT FROM c.lang JOIN wide a ON a.metric = v.metric),
+  SELECT c.doc_id, v.metric, g.low, g.high, v.v FROM counts c JOIN vals v ON c.doc_id = v.doc_id
+  JOIN in_group g ON g.metric = v.metric AND g.lang IS NOT DISTINCT FROM c.lang AND g.source IS NOT DISTINCT FROM c.source),
 bad AS (
   SELECT doc_id, string_agg(metric, ',' ORDER BY list_position(['symbols', 'length', 'lines', 'repeats'], metric)) AS failed
   FROM judged WHERE v > high OR (metric = 'length' AND v < low) GROUP BY doc_id)

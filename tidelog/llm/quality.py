@@ -1,10 +1,12 @@
 """Quality rules with adaptive thresholds, in DataFrame functions only.
 
 Each document's rule metrics are whole numbers, so a histogram of them is a quantile sketch: its
-counts merge by addition, exactly and in any order, and it has a row for each distinct value. Three
-metrics are per mille; the mean word length has no upper bound and none is set, as the fences of a
-group of long words (Chinese, Thai, lists of addresses) lie far above those of others. Sketches are kept for each (language, source), each language and the whole table; a
-group of too few documents takes its thresholds from the next wider one.
+counts merge by addition, exactly and in any order. Four metrics keep every value; the two sizes, lines and words,
+keep their four leading bits. Sketches are kept for each (language, source), each language and the whole table.
+
+A group's thresholds lie outside its quartiles by some interquartile ranges, and at least by what a few events
+would add in its median document, so nothing in them is fixed but the number of events. A group leans
+on its language, and that on the whole table, by the numbers of documents.
 """
 
 from __future__ import annotations
@@ -20,13 +22,13 @@ SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 SPLIT = "[ \\t-\\r]+"
 WINDOW = 5
-#: Metrics with the largest value of each in the oracle's SQL; here per mille ends at 1000 by itself and nothing is cut.
-METRICS = {"symbols": 1000, "length": 400, "lines": 1000, "repeats": 1000}
-#: A threshold lies FENCE interquartile ranges outside the quartiles, and at least SLACK away from them.
-FENCE = 3
-SLACK = {"symbols": 60, "length": 25, "lines": 300, "repeats": 150}
-#: Documents that a group needs for thresholds of its own.
-MIN_GROUP = 100
+METRICS, SIZES = ("symbols", "length", "lines", "repeats"), ("n_lines", "n_words")
+#: A threshold lies FENCE interquartile ranges outside the quartiles, and at least so far that the median document of the
+#: group may have a symbol more in each SYMBOL_WORDS words, LINES more repeated lines, WINDOWS more words in repeated
+#: windows than the quartile; a mean word length may differ by half the median one.
+FENCE, SYMBOL_WORDS, LINES, WINDOWS = 3, 3, 3, 6 * WINDOW
+#: Documents of the wider group that count beside a group's own.
+LEAN = 100
 #: Groups whose thresholds may be broadcast.
 BROADCAST_GROUPS = 50_000
 
@@ -103,37 +105,57 @@ def metric_columns() -> dict[str, Column]:
     }
 
 
+def leading_bits(n: Column) -> Column:
+    """A whole number with all but its four leading bits zero: a bin of a sketch whose relative error is an eighth."""
+    shift = F.greatest(F.length(F.bin(n)) - 4, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", n, shift), shift)
+
+
 def sketches(counts: DataFrame) -> DataFrame:
     """lang, source, metric, bin, n: histograms over the documents that pass the base rules."""
-    kinds = F.explode(
-        F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("bin")) for m, v in metric_columns().items()])
-    )
+    values = metric_columns() | {c: leading_bits(F.col(c)) for c in SIZES}
+    kinds = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("bin")) for m, v in values.items()]))
     passed = counts.where(~base_failed()).select("lang", "source", kinds.alias("m"))
     return passed.groupBy("lang", "source", "m.metric", "m.bin").agg(F.count(F.lit(1)).alias("n"))
 
 
 def thresholds(bins: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, and for each metric the struct (low, high, n) of its fences, from merged sketches."""
+    """keys, n (documents), and for each metric the struct (low, high) of its fences, from merged sketches."""
     merged = bins.groupBy(*keys, "metric", "bin").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys, "metric")
     ranked = merged.withColumn("upto", F.sum("n").over(group.orderBy("bin"))).withColumn("total", F.sum("n").over(group))
     # the smallest bin that q quarters of the documents do not exceed
     at = lambda q: F.min(F.when(4 * F.col("upto") >= q * F.col("total"), F.col("bin")))
-    quartiles = ranked.groupBy(*keys, "metric").agg(at(1).alias("q1"), at(3).alias("q3"), F.max("total").alias("n"))
-    slack = F.coalesce(*[F.when(F.col("metric") == m, F.lit(s)) for m, s in SLACK.items()])
-    away = F.greatest(FENCE * (F.col("q3") - F.col("q1")), slack)
-    fences = quartiles.withColumn("f", F.struct((F.col("q1") - away).alias("low"), (F.col("q3") + away).alias("high"), F.col("n")))
-    return fences.groupBy(*keys).agg(*[F.max(F.when(F.col("metric") == m, F.col("f"))).alias(m) for m in METRICS])
+    quartiles = ranked.groupBy(*keys, "metric").agg(at(1).alias("q1"), at(2).alias("q2"), at(3).alias("q3"), F.max("total").alias("n"))
+    each = [F.max(F.when(F.col("metric") == m, F.struct("q1", "q2", "q3"))).alias(m) for m in (*METRICS, *SIZES)]
+    rows = quartiles.groupBy(*keys).agg(F.max("n").alias("n"), *each)
+    share = lambda events, of: F.floor(F.lit(1000 * events) / F.greatest(of, F.lit(1)))
+    least = {
+        "symbols": share(10, SYMBOL_WORDS * F.col("length.q2")),
+        "length": F.floor(F.col("length.q2") / 2),
+        "lines": share(LINES, F.col("n_lines.q2")),
+        "repeats": share(WINDOWS, F.col("n_words.q2")),
+    }
+    away = {m: F.greatest(FENCE * (F.col(m)["q3"] - F.col(m)["q1"]), least[m]) for m in METRICS}
+    fences = [F.struct((F.col(m)["q1"] - away[m]).alias("low"), (F.col(m)["q3"] + away[m]).alias("high")).alias(m) for m in METRICS]
+    return rows.select(*keys, "n", *fences)
 
 
-def quality_rules(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+def _leaning(n: Column, own: Column, wider: Column, lean: int) -> Column:
+    """Fences of a group of n documents, beside which those of the wider group count as `lean` documents more."""
+    mixed = lambda side: F.floor((n * own[side] + lean * wider[side]) / (n + lean)).alias(side)
+    return F.struct(mixed("low"), mixed("high"))
+
+
+def quality_rules(docs: DataFrame, lean: int = LEAN) -> DataFrame:
     """doc_id, lang, source, the counts, base_failed, kept, and `failed`, which metrics are outside their thresholds (if not base_failed).
 
     A document is kept if it passes the base rules and each metric lies within its group's fences;
     for symbols, lines and repeats only the upper fence counts, for word length both do. A group is
-    (lang, source) if it has at least min_group documents that pass the base rules, else its lang,
-    else all documents. Null lang and null source are groups like others. A table in which no
-    document passes the base rules has no thresholds and keeps nothing. Repeated rows are
+    (lang, source); its fences are a mean of its own ones, by its documents that pass the base rules, and of
+    its language's, by `lean`, and those in the same way of the language's own and the whole table's. Null
+    lang and null source are groups like others. A table in which no document passes the base rules
+    has no thresholds and keeps nothing. Repeated rows are
     documents each; an empty table gives an empty result; other columns of docs are ignored.
     """
     counts = rule_counts(docs.select("doc_id", "lang", "source", "text")).drop("text")
@@ -141,18 +163,11 @@ def quality_rules(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     bins = sketches(counts)
     wide = thresholds(bins.withColumn("every", F.lit(1)), ["every"])
     own, by_lang = thresholds(bins, ["lang", "source"]), thresholds(bins, ["lang"])
-    pick = lambda *sides: [
-        F.coalesce(
-            *[F.when(F.col(f"{s}.{m}")["n"] >= min_group, F.col(f"{s}.{m}")) for s in sides[:-1]], F.col(f"{sides[-1]}.{m}")
-        ).alias(m)
-        for m in METRICS
-    ]
-    groups = (
-        own.alias("own")
-        .join(by_lang.alias("lang"), F.col("own.lang").eqNullSafe(F.col("lang.lang")), "left")
-        .join(F.broadcast(wide).alias("wide"), F.lit(True), "left")  # one row
-        .select(F.col("own.lang").alias("g_lang"), F.col("own.source").alias("g_source"), *pick("own", "lang", "wide"))
-    )
+    in_lang = [_leaning(F.col("lang.n"), F.col(f"lang.{m}"), F.col(f"wide.{m}"), lean).alias(m) for m in METRICS]
+    by_lang = by_lang.alias("lang").join(F.broadcast(wide).alias("wide"), F.lit(True), "left").select("lang.lang", *in_lang)  # one row
+    in_group = [_leaning(F.col("own.n"), F.col(f"own.{m}"), F.col(f"lang.{m}"), lean).alias(m) for m in METRICS]
+    groups = own.alias("own").join(by_lang.alias("lang"), F.col("own.lang").eqNullSafe(F.col("lang.lang")), "left")
+    groups = groups.select(F.col("own.lang").alias("g_lang"), F.col("own.source").alias("g_source"), *in_group)
     groups = staged(groups, "thresholds")
     if groups.count() <= BROADCAST_GROUPS:
         groups = F.broadcast(groups)
