@@ -251,3 +251,23 @@ def test_random_filters_equal_a_plain_scan(spark, tmp_path):
         )
         got = sorted((r[0], r[1], r[2]) for r in s.query(LogQuery("me", ASK, **f)).df.collect())
         assert got == want, f
+
+
+def test_a_writer_that_loses_leaves_the_winners_rows(spark, tmp_path):
+    """Both have read the same version; whatever the loser does, the winner's rows are what is read."""
+    winner, loser = store(spark, tmp_path, size=2, threshold=-1.0, trim=100), store(spark, tmp_path, size=2, threshold=-1.0, trim=100)
+    for action in ("store", "ingest", "compact"):
+        old = loser.manifest.cursors()
+        if action == "store":
+            winner.store(spark.createDataFrame([("a", "s", f"winner {i}", T0, None) for i in range(4)], STORE).coalesce(1))
+        else:
+            getattr(winner, action)()
+        loser.manifest.cursors = lambda old=old: old
+        with pytest.raises(Conflict):
+            if action == "store":
+                loser.store_one("b", "s", "loser")
+            else:
+                getattr(loser, action)()
+        del loser.manifest.cursors
+        assert sorted(r["conversation_log"] for r in loser.wal.read().collect()) == [f"winner {i}" for i in range(4)]
+    assert sorted(r["raw_conversation_log"] for r in loser.query(LogQuery("me", ASK)).df.collect()) == [f"winner {i}" for i in range(4)]

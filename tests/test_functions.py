@@ -154,3 +154,15 @@ def test_retention_rule():
     assert op.keep_last(31, 0, 5, 10, 12) == 5  # never beyond what is processed
     assert op.keep_last(21, 0, 20, 10) == 0 and op.keep_last(22, 0, 21, 10) == 11
     assert op.keep_last(31, 25, 30, 10, 12) == 25
+
+
+def test_blooms_of_many_values_still_prune(spark):
+    """Beyond one bitmap: none is missed, and few others are let through."""
+    bits, hashes = bloom.size_for(20_000)
+    assert bits > 4 * bloom.BITMAP_BITS
+    rows = spark.range(40_000).select((F.col("id") % 2).alias("block"), F.concat(F.lit("v"), F.col("id")).alias("v"))
+    blooms = bloom.build(rows, "block", "v", bits, hashes, "b")
+    other = spark.range(3000).select((F.col("id") * 13).alias("id"))
+    hit = bloom.may_contain(F.col("b"), F.concat(F.lit("v"), F.col("id").cast("string")), bits, hashes)
+    got = {(r[0], r[1]): r[2] for r in other.crossJoin(blooms).groupBy("block", (F.col("id") % 2 == F.col("block")).alias("member")).agg(F.avg(hit.cast("int"))).collect()}
+    assert got[0, True] == got[1, True] == 1.0 and got[0, False] < 0.03 and got[1, False] < 0.03

@@ -18,7 +18,7 @@ from tidelog.plans import status
 from tidelog.plans.query import COMPLETE, INTERNAL_ERROR, QueryResult, plan, run_with_deadline
 from tidelog.sources import files
 from tidelog.sources.blocks import BlockStore
-from tidelog.sources.manifest import Manifest, latest_active
+from tidelog.sources.manifest import Conflict, Manifest, latest_active
 from tidelog.sources.schemas import ACTIVE, BAKED, BLOCKS, COMPACTED, FRESH, READY, RESULT, SEALED, STORE
 from tidelog.sources.wal import WalTable
 
@@ -56,8 +56,8 @@ class LogStore:
     def ingest(self, limit: int | None = None) -> int:
         """Move one batch of unprocessed records into fresh blocks; returns how many.
 
-        The batch's folder, its blocks and the cursor are committed at once, so that after any failure it is
-        as if the batch had not begun.
+        The batch's folder, its blocks and the cursor are committed at once, so that after any failure, or another
+        writer's commit, it is as if the batch had not begun.
         """
         at = self.manifest.cursors()
         size, first = self.config.max_records_per_block, at.last_processed_seq + 1
@@ -73,9 +73,9 @@ class LogStore:
         new_blocks = at.next_block_id - (1 if active else 0)
         offset = op.block_offset(F.col("wal_seq"), at.last_processed_seq, carried, size)
         block_id = F.when(offset == 0, F.lit(first_block)).otherwise(F.lit(new_blocks) + offset)
-        self.blocks.write_fresh(op.to_records(rows, self.embedder, block_id), first)
-        after = at.fresh_batches + (first,)
-        written = self.blocks.read_fresh(type(at)(fresh_batches=(first,)))
+        batch = self.blocks.write_fresh(op.to_records(rows, self.embedder, block_id), first)
+        after = at.fresh_batches + (batch,)
+        written = self.blocks.read_fresh(type(at)(fresh_batches=(batch,)))
         stats = op.block_stats(written)
         if active:
             held = self.spark.createDataFrame([(first_block, carried, active[0]["min_ts"], active[0]["max_ts"])], stats.schema)
@@ -95,7 +95,11 @@ class LogStore:
         )
         n = upto - first + 1
         next_block = max(at.next_block_id, new_blocks + (carried + n - 1) // size + 1)
-        self.manifest.commit(at, changed, last_processed_seq=upto, next_block_id=next_block, fresh_batches=after, last_ingestion_run=now)
+        try:
+            self.manifest.commit(at, changed, last_processed_seq=upto, next_block_id=next_block, fresh_batches=after, last_ingestion_run=now)
+        except Conflict:
+            self.blocks.delete_fresh(batch)
+            raise
         self.trim_wal()
         return n
 
@@ -113,7 +117,14 @@ class LogStore:
     # ---- compact
 
     def compact(self, most: int = 10_000) -> int:
-        """Bake sealed blocks, one baked block for each; returns how many.
+        """Bake all sealed blocks, one baked block for each, at most `most` with one commit; returns how many."""
+        total = 0
+        while n := self._compact_some(most):
+            total += n
+        return total
+
+    def _compact_some(self, most: int) -> int:
+        """One commit's share of compact().
 
         The manifest is the queue: what a stopped run left sealed is baked by the next. Readers of an older
         snapshot keep their fresh files until vacuum().
@@ -144,9 +155,13 @@ class LogStore:
             F.timestamp_micros(F.lit(now)).alias("created_at"),
         )
         parents = every.join(F.broadcast(ids), F.col("block_id") == F.col("old"), "left_semi").withColumn("state", F.lit(COMPACTED))
-        self.manifest.commit(
-            at, made.unionByName(parents.select(*BLOCKS.names)), next_block_id=at.next_block_id + len(sealed), last_compaction_run=now
-        )
+        try:
+            self.manifest.commit(
+                at, made.unionByName(parents.select(*BLOCKS.names)), next_block_id=at.next_block_id + len(sealed), last_compaction_run=now
+            )
+        except Conflict:
+            files.delete(self.spark, path)
+            raise
         return len(sealed)
 
     def vacuum(self) -> int:
@@ -154,14 +169,14 @@ class LogStore:
         at = self.manifest.cursors()
         alive = {r[0] for r in self.manifest.blocks(at).where((F.col("block_type") == FRESH) & F.col("state").isin(ACTIVE, SEALED)).select("block_id").collect()}
         gone = []
-        for first in at.fresh_batches:
-            ids = {int(n.split("=")[1]) for n in files.names(self.spark, self.blocks.fresh_path(first)) if n.startswith("block_id=")}
+        for batch in at.fresh_batches:
+            ids = {int(n.split("=")[1]) for n in files.names(self.spark, self.blocks.fresh_path(batch)) if n.startswith("block_id=")}
             if not ids & alive:
-                gone.append(first)
+                gone.append(batch)
         if gone:
             self.manifest.commit(at, fresh_batches=tuple(b for b in at.fresh_batches if b not in gone))
-            for first in gone:
-                self.blocks.delete_fresh(first)
+            for batch in gone:
+                self.blocks.delete_fresh(batch)
         return len(gone)
 
     # ---- query

@@ -1,6 +1,6 @@
 """Bloom filters as binary columns: built by an aggregation, probed by an expression.
 
-A filter is a bitmap of up to BITMAP_BITS bits, the size of one bitmap_construct_agg value. Positions
+A filter is a row of bitmaps of BITMAP_BITS bits, each a bitmap_construct_agg value. Positions
 come from xxhash64 with the hash number as salt, which gives the same value in every process.
 """
 
@@ -11,14 +11,15 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITMAP_BITS = 32768
+#: Bits of one bitmap and, as a filter is read with its block's row, the most of a filter (2 MB).
+BITMAP_BITS, MOST_BITS = 32768, 1 << 24
 
 
 def size_for(distinct: int, false_positives: float = 0.01) -> tuple[int, int]:
-    """(bits, hashes) for that many distinct values; bits are a power of two, at most BITMAP_BITS."""
+    """(bits, hashes) for that many distinct values; bits are a power of two, at most MOST_BITS, which serve 1.7 million at 1 %."""
     distinct = max(1, distinct)
     wanted = -distinct * math.log(false_positives) / math.log(2) ** 2
-    bits = min(BITMAP_BITS, max(64, 1 << math.ceil(math.log2(wanted))))
+    bits = min(MOST_BITS, max(64, 1 << math.ceil(math.log2(wanted))))
     return bits, max(1, min(16, round(bits / distinct * math.log(2))))
 
 
@@ -27,9 +28,15 @@ def positions(value: Column, bits: int, hashes: int) -> Column:
 
 
 def build(rows: DataFrame, group: str, value: str, bits: int, hashes: int, name: str) -> DataFrame:
-    """group and its filter of value; only set bits are shuffled, after map-side merging."""
+    """group and its filter of value; bitmaps are merged before they are shuffled, and then put side by side."""
     at = rows.select(group, F.explode(positions(F.col(value), bits, hashes)).alias("__at"))
-    return at.groupBy(group).agg(F.bitmap_construct_agg("__at").alias(name))
+    which = F.floor(F.col("__at") / BITMAP_BITS).cast("int").alias("__n")
+    maps = at.groupBy(group, which).agg(F.bitmap_construct_agg(F.pmod("__at", F.lit(BITMAP_BITS))).alias("__map"))
+    pairs = maps.groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("__n", "__map"))).alias("__maps"))
+    none = F.unhex(F.repeat(F.lit("00"), BITMAP_BITS // 8))
+    each = F.transform(F.sequence(F.lit(0), F.lit(max(1, bits // BITMAP_BITS) - 1)), lambda i: F.coalesce(F.col("__maps")[i], none))
+    # concat() of hex texts, as there is no aggregate of binaries
+    return pairs.select(group, F.unhex(F.array_join(F.transform(each, lambda b: F.hex(b)), "")).alias(name))
 
 
 def may_contain(bloom: Column, value, bits: int, hashes: int) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from tidelog.functions import bloom
 from tidelog.functions.scalar import embedding_text
@@ -67,7 +68,14 @@ def accepted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where("status = 'OK'").drop("status", "error_message"), checked.where("status <> 'OK'")
 
 
-def lower_rank_percentile(value: Column, p: float) -> Column:
-    """The value at place floor((n - 1) * p) of the sorted values; an aggregation whose group must fit one task."""
-    ordered = F.array_sort(F.collect_list(value))
-    return F.element_at(ordered, (F.floor((F.count(value) - 1) * F.lit(p)) + 1).cast("int"))
+def lower_rank_percentiles(rows: DataFrame, group: str, value: str, ranks: dict[str, float]) -> DataFrame:
+    """group and, for each name in ranks, the value at place floor((n - 1) * p) of its sorted values.
+
+    Equal values are counted first, and a running count over the sorted distinct ones finds the places; nothing is
+    gathered in memory. Nulls don't count; a group without values is left out.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("__n"))
+    whole = Window.partitionBy(group)
+    ranked = counts.withColumn("__upto", F.sum("__n").over(whole.orderBy(value))).withColumn("__all", F.sum("__n").over(whole))
+    at = lambda p: F.min(F.when(F.col("__upto") > F.floor((F.col("__all") - 1) * F.lit(p)), F.col(value)))
+    return ranked.groupBy(group).agg(*[at(p).alias(name) for name, p in ranks.items()])

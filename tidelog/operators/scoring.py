@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +33,14 @@ def matching(records: DataFrame, vector: list[float], threshold: float, strict:
     return records.where(has_embedding()).where(similar(score(vector, strict=strict), threshold))
 
 
-def matching_many(records: DataFrame, vectors: list[tuple[str, list[float]]], threshold: float) -> DataFrame:
+def matching_many(records: DataFrame, vectors: Iterable[tuple[str, list[float]]], threshold: float) -> DataFrame:
     """records with query_id, once for each query that they match, without a shuffle.
 
     The vectors are broadcast in blocks of MOST_QUERIES, with one pass over the records for each block.
     Scores are matrix products in double over Arrow batches.
     """
-    blocks = [vectors[at : at + MOST_QUERIES] for at in range(0, max(1, len(vectors)), MOST_QUERIES)]
-    return reduce(DataFrame.unionAll, [_matching_block(records, block, threshold) for block in blocks])
+    blocks = [_matching_block(records, list(block), threshold) for block in batched(vectors, MOST_QUERIES)]
+    return reduce(DataFrame.unionAll, blocks or [_matching_block(records, [], threshold)])
 
 
 def _matching_block(records: DataFrame, vectors: list[tuple[str, list[float]]], threshold: float) -> DataFrame:

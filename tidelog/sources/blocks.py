@@ -16,7 +16,7 @@ INDEX = ("block_id", "wal_seq", "agent_id", "session_id", "ts", "embedding")
 
 
 class BlockStore:
-    """Folders fresh/batch=<first number>/block_id=<id> and baked/run=<version>/block_id=<id>.
+    """Folders fresh/batch=<first number>-<tag>/block_id=<id> and baked/run=<version>-<tag>/block_id=<id>.
 
     Block and batch are partition columns, so a query's list of candidates prunes folders, and times and ids
     prune row groups.
@@ -25,12 +25,14 @@ class BlockStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def fresh_path(self, first: int) -> str:
-        return f"{self.root}/fresh/batch={first:018d}"
+    def fresh_path(self, batch: str) -> str:
+        return f"{self.root}/fresh/{batch}"
 
-    def write_fresh(self, records: DataFrame, first: int) -> None:
-        """One ingest batch. Its place depends only on its first record, so a repeated attempt overwrites itself."""
-        records.write.mode("overwrite").option("compression", "zstd").partitionBy("block_id").parquet(self.fresh_path(first))
+    def write_fresh(self, records: DataFrame, first: int) -> str:
+        """One ingest batch, in a folder of its own; returns the folder's name, which counts once it is committed."""
+        batch = f"batch={first:018d}-{files.tag()}"
+        records.write.option("compression", "zstd").partitionBy("block_id").parquet(self.fresh_path(batch))
+        return batch
 
     def read_fresh(self, at: Cursors) -> DataFrame:
         paths = [self.fresh_path(b) for b in at.fresh_batches]
@@ -42,13 +44,10 @@ class BlockStore:
             out = out.unionByName(p)
         return out.select(*RECORDS.names)
 
-    def baked_path(self, run: int) -> str:
-        return f"{self.root}/baked/run={run:012d}"
-
     def write_baked(self, records: DataFrame, run: int) -> str:
         """Whole blocks, each sorted by time, agent, session and number."""
-        path = self.baked_path(run)
-        baked_order(records).write.mode("overwrite").option("compression", "zstd").partitionBy("block_id").parquet(path)
+        path = f"{self.root}/baked/run={run:012d}-{files.tag()}"
+        baked_order(records).write.option("compression", "zstd").partitionBy("block_id").parquet(path)
         return path
 
     def read_baked(self, paths: list[str]) -> DataFrame:
@@ -86,5 +85,5 @@ class BlockStore:
         """hits (block_id, wal_seq, ...) with their logs, by a second scan of the records."""
         return hits.join(records.select("block_id", "wal_seq", "raw_conversation_log"), ["block_id", "wal_seq"])
 
-    def delete_fresh(self, first: int) -> bool:
-        return files.delete(self.spark, self.fresh_path(first))
+    def delete_fresh(self, batch: str) -> bool:
+        return files.delete(self.spark, self.fresh_path(batch))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -25,7 +28,12 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 
 def write_new(spark: SparkSession, path: str, text: str) -> bool:
-    """Create a file as a whole, by a rename; False if another writer was first."""
+    """Create a file as a whole; False if another writer was first.
+
+    The file is written under a name of its own and then gets its real one by a step that fails if the name is
+    taken: a hard link on local file systems, elsewhere a rename, which distributed file systems make atomic
+    and refuse. A store whose renames replace files, as some object stores' do, bears one writer at a time.
+    """
     fs, p = _open(spark, path)
     temp = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{spark._jvm.java.util.UUID.randomUUID().toString()}.tmp")
     stream = fs.create(temp, True)
@@ -33,10 +41,28 @@ def write_new(spark: SparkSession, path: str, text: str) -> bool:
         stream.write(bytearray(text.encode()))
     finally:
         stream.close()
-    if not fs.exists(p) and fs.rename(temp, p):
-        return True
-    fs.delete(temp, False)
-    return False
+    try:
+        return _linked(spark, fs, temp, p) if fs.resolvePath(temp).toUri().getScheme() == "file" else not fs.exists(p) and fs.rename(temp, p)
+    finally:
+        fs.delete(temp, False)
+
+
+def _linked(spark: SparkSession, fs, temp, path) -> bool:
+    """A hard link from the new name, which only one writer can make."""
+    nio, local = spark._jvm.java.nio.file, fs.resolvePath(temp).toUri().getPath()
+    target = local[: local.rindex("/") + 1] + path.getName()
+    try:
+        nio.Files.createLink(spark._jvm.java.io.File(target).toPath(), spark._jvm.java.io.File(local).toPath())
+    except Py4JJavaError as error:
+        if "FileAlreadyExistsException" in str(error.java_exception.toString()):
+            return False
+        raise
+    return True
+
+
+def tag() -> str:
+    """A part of a folder's name that no other writer uses."""
+    return uuid.uuid4().hex[:12]
 
 
 def names(spark: SparkSession, path: str) -> list[str]:

@@ -1,8 +1,9 @@
 """The manifest: which blocks exist, in which state, with which statistics, and the cursors of the jobs.
 
-Each commit is a version. It appends the changed block rows as a small table and then, by one rename,
-the version's file, which names the tables that are in force and holds the cursors. Readers take the newest
-version file and so always see one consistent snapshot; a writer that loses a race gets an error and changes nothing.
+Each commit is a version. It appends the changed block rows as a small table and then, in one step that only one
+writer can make, the version's file, which names the tables and batches in force and holds the cursors. Readers take
+the newest version file and so always see one consistent snapshot. All folders have names of their own, so a writer
+that loses a race has touched nothing of the winner's; it gets an error, and what it wrote goes.
 Every SNAPSHOT_EVERY versions all rows are rewritten into one table, so a reader opens few.
 """
 
@@ -31,13 +32,13 @@ class Cursors:
     """What is not a block. Sequence numbers start at 1 and have no gaps; times are microseconds."""
 
     version: int = 0
-    tables: tuple[int, ...] = ()
+    tables: tuple[str, ...] = ()
     next_seq: int = 1
     last_processed_seq: int = 0
     trimmed_to: int = 0
     next_block_id: int = 1
-    wal_batches: tuple[tuple[int, int], ...] = ()
-    fresh_batches: tuple[int, ...] = ()
+    wal_batches: tuple[tuple[int, int, str], ...] = ()  # first and last number, folder
+    fresh_batches: tuple[str, ...] = ()
     last_ingestion_run: int | None = None
     last_compaction_run: int | None = None
 
@@ -91,18 +92,21 @@ class Manifest:
                 changed = self.blocks(before).join(F.broadcast(keys) if self._few(keys) else keys, "block_id", "left_anti").select(*BLOCKS.names).unionByName(changed.select(*BLOCKS.names))
                 tables = ()
             rows = changed.select(*[F.col(f.name).cast(f.dataType) for f in BLOCKS.fields], F.lit(version).cast("long").alias("changed"))
-            rows.write.mode("overwrite").option("compression", "zstd").parquet(self._table(version))
-            tables = (*tables, version)
+            made = f"v{version:012d}-{files.tag()}"
+            rows.write.option("compression", "zstd").parquet(self._table(made))
+            tables = (*tables, made)
         after = replace(before, version=version, tables=tables, **cursors)
         if not files.write_new(self.spark, f"{self.root}/versions/{version:012d}.json", json.dumps(asdict(after))):
+            if changed is not None:
+                files.delete(self.spark, self._table(made))
             raise Conflict(f"version {version} exists already")
         return after
 
     def _few(self, keys: DataFrame) -> bool:
         return len(keys.limit(10_001).collect()) <= 10_000
 
-    def _table(self, version: int) -> str:
-        return f"{self.root}/tables/v{version:012d}"
+    def _table(self, name: str) -> str:
+        return f"{self.root}/tables/{name}"
 
 
 # ---- what is in force

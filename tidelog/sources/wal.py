@@ -8,23 +8,24 @@ from pyspark.sql import Window
 
 from tidelog.functions.scalar import is_blank, or_now
 from tidelog.sources import files
-from tidelog.sources.manifest import Cursors, Manifest
+from tidelog.sources.manifest import Conflict, Cursors, Manifest
 from tidelog.sources.schemas import WAL
 
 
 class WalTable:
-    """Batches are folders wal/first=<sequence number of their first record>; the manifest lists those in force."""
+    """Batches are folders wal/first=<sequence number of their first record>-<tag>; the manifest lists those in force."""
 
     def __init__(self, spark: SparkSession, root: str, manifest: Manifest):
         self.spark, self.root, self.manifest = spark, f"{root.rstrip('/')}/wal", manifest
 
-    def _batch(self, first: int) -> str:
-        return f"{self.root}/first={first:018d}"
+    def _batch(self, name: str) -> str:
+        return f"{self.root}/{name}"
 
     def append(self, rows: DataFrame) -> int:
         """Append valid store requests; returns how many. Unset and zero times become now, empty summaries null.
 
-        The numbers are offsets by partition: rows are counted where they lie and never sorted or gathered.
+        The numbers are offsets by partition: rows are counted where they lie and never sorted or gathered. Another
+        writer's commit in the meantime raises Conflict, and nothing is appended.
         """
         at = self.manifest.cursors()
         first = at.next_seq
@@ -36,8 +37,9 @@ class WalTable:
             F.when(~is_blank(F.col("summary")), F.col("summary")).alias("summary"),
             F.monotonically_increasing_id().alias("__at"),
         )
-        raw = f"{self.root}/_incoming-{first:018d}"
-        prepared.write.mode("overwrite").option("compression", "zstd").parquet(raw)
+        name = f"first={first:018d}-{files.tag()}"
+        raw = f"{self.root}/_incoming-{name}"
+        prepared.write.option("compression", "zstd").parquet(raw)
         written = self.spark.read.parquet(raw)
         part = F.shiftright("__at", 33)
         counts = written.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
@@ -48,8 +50,13 @@ class WalTable:
             inside = F.col("__at") - F.shiftleft(part, 33)
             numbered = written.withColumn("__part", part).join(F.broadcast(offsets), "__part")
             numbered = numbered.withColumn("wal_seq", F.lit(first) + F.col("__offset") + inside)
-            numbered.select(*WAL.names).write.mode("overwrite").option("compression", "zstd").parquet(self._batch(first))
-            self.manifest.commit(at, next_seq=first + total, wal_batches=(*at.wal_batches, (first, first + total - 1)))
+            numbered.select(*WAL.names).write.option("compression", "zstd").parquet(self._batch(name))
+            try:
+                self.manifest.commit(at, next_seq=first + total, wal_batches=(*at.wal_batches, (first, first + total - 1, name)))
+            except Conflict:
+                files.delete(self.spark, self._batch(name))
+                files.delete(self.spark, raw)
+                raise
         files.delete(self.spark, raw)
         return total
 
@@ -58,7 +65,7 @@ class WalTable:
         at = at or self.manifest.cursors()
         low = max(at.trimmed_to, after if after is not None else at.trimmed_to)
         high = at.next_seq - 1 if limit is None else min(at.next_seq - 1, low + limit)
-        batches = [self._batch(a) for a, b in at.wal_batches if b > low and a <= high]
+        batches = [self._batch(name) for a, b, name in at.wal_batches if b > low and a <= high]
         if not batches:
             return self.spark.createDataFrame([], WAL)
         rows = self.spark.read.schema(WAL).parquet(*batches)
@@ -72,8 +79,8 @@ class WalTable:
             return 0
         gone = [x for x in at.wal_batches if x[1] <= upto]
         self.manifest.commit(at, trimmed_to=upto, wal_batches=tuple(x for x in at.wal_batches if x[1] > upto))
-        for first, _ in gone:
-            files.delete(self.spark, self._batch(first))
+        for _, _, name in gone:
+            files.delete(self.spark, self._batch(name))
         return upto - at.trimmed_to
 
     def count(self) -> int:
