@@ -1,9 +1,11 @@
+import numpy as np
+import pandas as pd
 import random
 
 import pytest
 
 from tidelog.llm import jaccard
-from tidelog.llm.jaccard import Similarity, jaccard_groups
+from tidelog.llm.jaccard import _passes, Similarity, jaccard_groups
 
 
 def brute(rows, sim):
@@ -72,3 +74,13 @@ def test_odd_rows(spark, odd_documents):
     assert got(odd_documents.limit(0), Similarity()) == []
     short = spark.createDataFrame([(None, "A b"), (9, "a  B"), (8, "a b c"), (None, "x"), (None, "x")], "doc_id long, text string")
     assert got(short, Similarity(3, 9, 10)) == brute([tuple(r) for r in short.collect()], Similarity(3, 9, 10))
+
+
+def test_tokens_that_coincide_lose_no_link():
+    """Two sets of 100 with an overlap of 95; two of the tokens that their prefixes share are narrowed to one value."""
+    sim = Similarity(k=3, num=9, den=10)
+    size = sim.prefix(100)
+    shared, own = np.arange(6), [np.arange(100, 100 + size - 6), np.arange(200, 200 + size - 6)]
+    for narrowed in (shared, np.where(shared == 5, 4, shared)):
+        sides = [pd.DataFrame({"sid": [i], "n": [100]} | {f"p{k}": [np.concatenate([narrowed, own[i]]).astype(np.int32)] for k in range(3)}) for i in (0, 1)]
+        assert _passes(*sides, sim).all()

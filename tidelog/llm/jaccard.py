@@ -121,7 +121,10 @@ def _featured(batches: Iterator[pa.RecordBatch], sim: Similarity, levels) -> Ite
 
 
 def _asked(batches: Iterator[pa.RecordBatch], sim: Similarity, levels, bits) -> Iterator[pa.RecordBatch]:
-    """All prefixes of the documents that may stand for a class in question; 32 bits of each token do to count for a bound."""
+    """All prefixes of the documents that may stand for a class in question.
+
+    32 bits of each token do to count for an upper bound if those that coincide within a set are counted besides.
+    """
     for whole in _maybe(batches, "text_hash", bits):
         for start in range(0, whole.num_rows, 512):
             batch = whole.slice(start, 512)
@@ -130,6 +133,7 @@ def _asked(batches: Iterator[pa.RecordBatch], sim: Similarity, levels, bits) ->
             for order in range(ORDERS):
                 lists = [(f[order] & 0x7FFFFFFF).astype(np.int32) for f in found]
                 out[f"p{order}"] = pa.array(lists, pa.list_(pa.int32()))
+                out[f"lost{order}"] = pa.array(_lost(lists), pa.int64())
             yield pa.RecordBatch.from_pydict(out)
 
 
@@ -186,6 +190,11 @@ def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _lost(sets: list[np.ndarray]) -> np.ndarray:
+    """How many members of each list coincide with others of it."""
+    return np.array([len(x) - len(np.unique(x)) for x in sets], np.int64)
+
+
 def _passes(a: pd.DataFrame, b: pd.DataFrame, sim: Similarity) -> np.ndarray:
     """Which pairs the sizes and all orders' prefixes allow."""
     na, nb = a["n"].to_numpy(), b["n"].to_numpy()
@@ -198,8 +207,10 @@ def _passes(a: pd.DataFrame, b: pd.DataFrame, sim: Similarity) -> np.ndarray:
         pa_, pb = list(a[f"p{order}"]), list(b[f"p{order}"])
         rest_a = na - np.array([len(x) for x in pa_])
         rest_b = nb - np.array([len(x) for x in pb])
+        # tokens may be narrowed: of a set whose lost ones coincide with others, so many more may be shared
+        lost = np.minimum(_lost(pa_)[:, None], _lost(pb)[None, :])
         shared = _common(pa_, pb)
-        ok &= (shared > 0) & (shared + np.maximum(rest_a[:, None], rest_b[None, :]) >= need)
+        ok &= (shared > 0) & (shared + lost + np.maximum(rest_a[:, None], rest_b[None, :]) >= need)
     return ok
 
 
@@ -392,18 +403,19 @@ def jaccard_groups(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame
     asked = staged(classes.join(asked, "sid").select("sid", "doc_id", "text_hash"), "asked")
     asked_bits = share(filter_bits(asked, "text_hash", FILTER_BITS))
     prefixes = docs.select("doc_id", "text_hash", "text").mapInArrow(
-        lean(lambda it: _asked(it, sim, levels, asked_bits)), f"doc_id {id_type}, text_hash long, p0 array<int>, p1 array<int>, p2 array<int>"
+        lean(lambda it: _asked(it, sim, levels, asked_bits)), ", ".join([f"doc_id {id_type}, text_hash long", *(f"p{i} array<int>, lost{i} long" for i in range(ORDERS))])
     )
     prefixes = _row_join(prefixes, asked, "inner").drop("doc_id", "text_hash").dropDuplicates(["sid"])
     prefixes = staged(prefixes, "asked-prefixes")
-    side = lambda s: prefixes.select(F.col("sid").alias(s), F.col("p1").alias(f"{s}1"), F.col("p2").alias(f"{s}2"))
+    later = [str(i) for i in range(1, ORDERS)]
+    side = lambda s: prefixes.select(F.col("sid").alias(s), *[F.col(f"{c}{i}").alias(f"{s}_{c}{i}") for c in ("p", "lost") for i in later])
     pairs = pairs.join(side("a"), "a").join(side("b"), "b")
-    for order in ("1", "2"):
-        both = F.size(F.array_intersect(f"a{order}", f"b{order}"))
-        pairs = pairs.where((both > 0) & (both + rest >= need - 1))
+    for i in later:
+        both = F.size(F.array_intersect(f"a_p{i}", f"b_p{i}"))
+        pairs = pairs.where((both > 0) & (both + F.least(f"a_lost{i}", f"b_lost{i}") + rest >= need - 1))
 
     # long lists
-    dealt = _tiled(long_.select("token", "sid", "n"), "token", sim).join(prefixes, "sid")
+    dealt = _tiled(long_.select("token", "sid", "n"), "token", sim).join(prefixes.drop(*[f"lost{i}" for i in range(ORDERS)]), "sid")
     forest = _in_python(dealt, "token", lambda it: _candidates(it, sim), "a long, b long")
     clusters = components(pairs.select("a", "b").unionAll(forest))
 
