@@ -17,14 +17,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from tidelog.llm.common import lean, mix64, staged
 
 BUCKETS = 1 << 14
-#: Labelled rows that the trigram model is fitted on, chosen by a hash of the row.
-SAMPLE = 4000
-#: Languages that the model may have, the commonest labels of the sample.
-LANGUAGES = 64
+#: Labelled rows of each language that the trigram model is fitted on, chosen by a hash of the row.
+SAMPLE = 1000
+#: Languages that the model tells apart, the commonest labels; all rows of the others are one more, REST.
+LANGUAGES, REST = 256, "(rest)"
 #: Trigrams of a text that count as independent evidence; longer texts weigh no more.
 EFFECTIVE = 60
 #: Chance that a declaration or a suffix names the right language.
@@ -80,16 +81,25 @@ def normal(log_p: np.ndarray) -> np.ndarray:
     return p / p.sum() if len(p) else p
 
 
+def named(declared: Column, languages: list[str]) -> Column:
+    """The declared language as the model knows it."""
+    return F.when(declared.isin(languages) | declared.isNull(), declared).otherwise(REST) if REST in languages else declared
+
+
 def fit(rows: DataFrame, sample: int = SAMPLE) -> TextModel:
-    """The model from rows (id, text, declared): a sample of at most `sample` labelled rows, least hashes first.
+    """The model from rows (id, text, declared): at most `sample` labelled rows of each language, least hashes first.
 
     Rows without a declared language are not labelled. Without any, the model has no languages.
     """
     labelled = rows.where(F.col("declared").isNotNull())
-    at = F.xxhash64("id", "declared")
-    last = labelled.select(at.alias("at")).orderBy("at").limit(sample).agg(F.max("at")).first()[0]
-    if last is None:
+    sizes = labelled.groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(LANGUAGES + 1).collect()
+    languages = sorted([r[0] for r in sizes[:LANGUAGES]] + [REST] * (len(sizes) > LANGUAGES))
+    if not languages:
         return TextModel([], np.zeros((0, BUCKETS), np.float32))
+    labelled = labelled.select("text", named(F.col("declared"), languages).alias("declared"), F.xxhash64("id", "declared").alias("at"))
+    first = Window.partitionBy("declared").orderBy("at")
+    few = labelled.select("declared", "at").withColumn("place", F.row_number().over(first)).where(F.col("place") <= sample)
+    last = few.groupBy(F.col("declared").alias("of")).agg(F.max("at").alias("last"))  # a row for each language
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -101,11 +111,9 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> TextModel:
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(some), pa.string()), "bucket": pa.array(some), "n": pa.array(total[some])})
 
-    counts = labelled.where(at <= last).select("text", "declared").mapInArrow(lean(counted), "lang string, bucket long, n long")
-    found = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    top = [r[0] for r in found.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    table = found.where(F.col("lang").isin(top)).toArrow()
-    languages = sorted(top)
+    chosen = labelled.join(F.broadcast(last), (F.col("declared") == F.col("of")) & (F.col("at") <= F.col("last"))).select("text", "declared")
+    counts = chosen.mapInArrow(lean(counted), "lang string, bucket long, n long")
+    table = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     matrix = np.full((len(languages), BUCKETS), 0.5)
     at_ = [languages.index(x) for x in table["lang"].to_pylist()]
     np.add.at(matrix, (at_, table["bucket"].to_numpy()), table["n"].to_numpy())
@@ -127,20 +135,24 @@ def _domain(host: Column) -> Column:
     return F.substring_index(host, ".", -2)
 
 
-def _text_posteriors(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    """host, and the posterior by the text alone, in millionths."""
+def _scored(batches: Iterator[pa.RecordBatch], model, keep: list[str], text: str) -> Iterator[pa.RecordBatch]:
+    """Each text's log evidence for the languages, the posterior by the text alone in millionths, and its trigrams."""
     m = model.value
-    for batch in batches:
-        out = []
-        for text in batch.column("text").to_pylist():
-            log_p, n = m.evidence(text)
-            out.append(np.rint(normal(log_p) * MILLION).astype(np.int64) if n else np.zeros(len(m.languages), np.int64))
-        yield pa.RecordBatch.from_pydict({"host": batch.column("host"), "votes": pa.array(out, pa.list_(pa.int64()))})
+    for whole in batches:
+        for at in range(0, whole.num_rows, 512):
+            batch = whole.slice(at, 512)
+            found = [m.evidence(t) for t in batch.column(text).to_pylist()]
+            votes = [np.rint(normal(e) * MILLION).astype(np.int64) if n else np.zeros(len(m.languages), np.int64) for e, n in found]
+            out = {c: batch.column(c) for c in keep} | {
+                "__evidence": pa.array([f[0] for f in found], pa.list_(pa.float64())),
+                "__votes": pa.array(votes, pa.list_(pa.int64())),
+                "n_trigrams": pa.array([f[1] for f in found], pa.int64()),
+            }
+            yield pa.RecordBatch.from_pydict(out)
 
 
-def host_priors(rows: DataFrame, model, k: int) -> DataFrame:
-    """host, prior: array of k log priors, hosts smoothed towards their domains and those towards the corpus."""
-    votes = rows.select("host", "text").mapInArrow(lean(lambda it: _text_posteriors(it, model)), "host string, votes array<long>")
+def host_priors(votes: DataFrame, k: int) -> DataFrame:
+    """host, prior from (host, votes): array of k log priors, hosts smoothed towards their domains and those towards the corpus."""
     sums = [F.sum(F.element_at("votes", i + 1)).alias(f"v{i}") for i in range(k)]
     hosts = staged(votes.groupBy("host").agg(*sums), "hosts").withColumn("domain", _domain(F.col("host")))
     again = [F.sum(f"v{i}").alias(f"v{i}") for i in range(k)]
@@ -159,74 +171,78 @@ def host_priors(rows: DataFrame, model, k: int) -> DataFrame:
     return joined.select(F.col("host").alias("p_host"), F.array(*prior).alias("prior"))
 
 
-def fused(model: TextModel, text: str | None, declared: str | None, suffix: str | None, prior: list[float] | None) -> tuple[str | None, float, int]:
-    """(language, posterior, trigrams); no language without trigrams or without languages."""
-    log_p, n = model.evidence(text)
-    if not n or not model.languages:
-        return None, 0.0, n
-    k = len(model.languages)
+def fused(
+    languages: list[str], log_p: np.ndarray, n: int, declared: str | None, suffix: str | None, prior: list[float] | None
+) -> tuple[str | None, float]:
+    """(language, posterior) from a text's log evidence and the rest; no language without trigrams or without languages."""
+    if not n or not languages:
+        return None, 0.0
+    k = len(languages)
     if prior is not None:
         log_p = log_p + np.asarray(prior)
-    for named, right in ((declared, DECLARED_RIGHT), (SUFFIX_LANGUAGE.get(suffix or ""), SUFFIX_RIGHT)):
-        if named in model.languages and k > 1:
+    for name, right in ((declared, DECLARED_RIGHT), (SUFFIX_LANGUAGE.get(suffix or ""), SUFFIX_RIGHT)):
+        if name in languages and k > 1:
             wrong = np.full(k, np.log((1 - right) / (k - 1)))
-            wrong[model.languages.index(named)] = np.log(right)
+            wrong[languages.index(name)] = np.log(right)
             log_p = log_p + wrong
     p = normal(log_p)
     best = int(p.argmax())
-    return model.languages[best], float(p[best]), n
+    return languages[best], float(p[best])
 
 
-def _judged(batches: Iterator[pa.RecordBatch], model, keep: list[str], text: str) -> Iterator[pa.RecordBatch]:
-    m = model.value
+def _judged(batches: Iterator[pa.RecordBatch], languages: list[str], keep: list[str]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, 512):
             batch = whole.slice(at, 512)
-            columns = [batch.column(c).to_pylist() for c in (text, "__declared", "__suffix", "__prior")]
-            found = [fused(m, *row) for row in zip(*columns, strict=True)]
+            columns = [batch.column(c).to_pylist() for c in ("__evidence", "n_trigrams", "__declared", "__suffix", "__prior")]
+            found = [fused(languages, np.array(e), *rest) for e, *rest in zip(*columns, strict=True)]
             out = {c: batch.column(c) for c in keep} | {
                 "detected": pa.array([f[0] for f in found], pa.string()),
                 "confidence": pa.array([round(f[1], 6) for f in found], pa.float64()),
-                "n_trigrams": pa.array([f[2] for f in found], pa.int64()),
+                "n_trigrams": batch.column("n_trigrams"),
                 "kept": pa.array([f[0] is not None and f[1] >= CONFIDENT for f in found], pa.bool_()),
             }
             yield pa.RecordBatch.from_pydict(out)
 
 
-def identify(rows: DataFrame, row_id: Column, text: str, declared: Column, host: Column, suffix: Column, sample: int = SAMPLE) -> DataFrame:
+def identify(
+    rows: DataFrame, row_id: Column, text: str, declared: Column, host: Column, suffix: Column, sample: int = SAMPLE, keep_text: bool = True
+) -> DataFrame:
     """rows with detected (language), confidence, n_trigrams and kept; text names a column, the other evidence is columns over rows.
 
     A row without letters has no language, confidence 0, and isn't kept; others are kept from a
     confidence of CONFIDENT on. Any evidence may be null and then says nothing; a null host shares the
     prior of all rows without one. Ties go to the alphabetically first language. Repeated rows are
     judged each; an empty table gives an empty result. Columns of rows that have the name of a new
-    column are replaced.
+    column are replaced. Each text is scored once; without keep_text it is left out of the result.
     """
     spark = rows.sparkSession
-    evidence = rows.select(row_id.alias("id"), F.col(text).alias("text"), declared.alias("declared"), host.alias("host"))
-    fitted = fit(evidence, sample)
-    k = len(fitted.languages)
+    fitted = fit(rows.select(row_id.alias("id"), F.col(text).alias("text"), declared.alias("declared")), sample)
+    languages, k = fitted.languages, len(fitted.languages)
     model = spark.sparkContext.broadcast(fitted)
-    keep = [c for c in rows.columns if c not in ("detected", "confidence", "n_trigrams", "kept")]
-    asked = rows.select(
-        *[F.col(f"`{c}`") for c in keep], declared.alias("__declared"), suffix.alias("__suffix"), host.alias("__host")
-    )
+    keep = [c for c in rows.columns if c not in ("detected", "confidence", "n_trigrams", "kept") and (keep_text or c != text)]
+    evidence = {"__declared": named(declared, languages), "__suffix": suffix, "__host": host}
+    asked = rows.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])], *[c.alias(n) for n, c in evidence.items()])
+    fields = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
+    extra = [f"{c} string" for c in evidence] + ["__evidence array<double>", "__votes array<long>", "n_trigrams long"]
+    carried = [*keep, *evidence]
+    scored = asked.mapInArrow(lean(lambda it: _scored(it, model, carried, text)), ", ".join([*fields, *extra]))
+    scored = staged(scored, "evidence")
     if k:
-        priors = staged(host_priors(evidence, model, k), "priors")
+        priors = staged(host_priors(scored.select(F.col("__host").alias("host"), F.col("__votes").alias("votes")), k), "priors")
         if priors.count() <= BROADCAST_HOSTS:
             priors = F.broadcast(priors)
-        asked = asked.join(priors, F.col("__host").eqNullSafe(F.col("p_host")), "left").drop("p_host").withColumnRenamed("prior", "__prior")
+        scored = scored.join(priors, F.col("__host").eqNullSafe(F.col("p_host")), "left").drop("p_host").withColumnRenamed("prior", "__prior")
     else:
-        asked = asked.withColumn("__prior", F.lit(None).cast("array<double>"))
-    fields = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
+        scored = scored.withColumn("__prior", F.lit(None).cast("array<double>"))
     schema = ", ".join([*fields, "detected string, confidence double, n_trigrams long, kept boolean"])
-    return asked.drop("__host").mapInArrow(lean(lambda it: _judged(it, model, keep, text)), schema)
+    return scored.drop("__host", "__votes").mapInArrow(lean(lambda it: _judged(it, languages, keep)), schema)
 
 
-def identify_documents(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def identify_documents(docs: DataFrame, sample: int = SAMPLE, keep_text: bool = True) -> DataFrame:
     """docs (doc_id, text, lang, source) judged: lang is the declared language, and source the host."""
     none = F.lit(None).cast("string")
-    return identify(docs, F.col("doc_id"), "text", F.col("lang"), F.col("source"), none, sample)
+    return identify(docs, F.col("doc_id"), "text", F.col("lang"), F.col("source"), none, sample, keep_text)
 
 
 def identify_pages(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -238,4 +254,4 @@ def identify_pages(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     host, suffix = address_columns(F.col("url"))
     rows = pages.select("page_id", "url", text_of("html").alias("text"), declared_in(F.col("html")).alias("declared"))
-    return identify(rows, F.col("page_id"), "text", F.col("declared"), host, suffix, sample).drop("text")
+    return identify(rows, F.col("page_id"), "text", F.col("declared"), host, suffix, sample, keep_text=False)

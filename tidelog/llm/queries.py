@@ -78,7 +78,7 @@ def op8_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, by its text, declaration and source."""
-    return langid.identify_documents(table(spark, sf_dir, "documents")).select("doc_id", "lang", "source", "detected", "confidence", "n_trigrams", "kept")
+    return langid.identify_documents(table(spark, sf_dir, "documents"), keep_text=False).select("doc_id", "lang", "source", "detected", "confidence", "n_trigrams", "kept")
 
 
 def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
