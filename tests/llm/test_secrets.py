@@ -1,3 +1,5 @@
+import pytest
+import random
 import base64
 import bz2
 import gzip
@@ -139,3 +141,39 @@ def test_table(spark, documents, odd_documents):
             assert sum(r[f"n_{k}"] for k in ("assign", "access", "hex")) == len(brute(t or "").split(",")) - (brute(t or "") == "")
     assert scan_documents(odd_documents.limit(0)).count() == 0
     assert scan_documents(odd_documents).columns.count("spans") == 1
+
+
+@pytest.mark.parametrize("before", ["data/", "x-", "a_b/", "some/path/of-it/", "k+"])
+@pytest.mark.parametrize("pack", [lambda b: b, gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_base64_behind_a_path(before, pack):
+    text = f"see {before}{base64.b64encode(pack(b'the password: hunter2hunter2 is old')).decode()} there"
+    base, spans = find_secrets(text)
+    assert not base and spans and all(kind == "assign" and text.index(before) <= a < b <= len(text) - 6 for kind, a, b in spans)
+
+
+def nested(rng, secret):
+    """A secret in random layers."""
+    data = secret
+    for _ in range(rng.randrange(1, 5)):
+        data = rng.choice(
+            [
+                lambda d: base64.b64encode(d.encode()).decode(),
+                lambda d: base64.b64encode(gzip.compress(d.encode())).decode(),
+                lambda d: base64.b64encode(zlib.compress(d.encode())).decode(),
+                lambda d: "".join(f"%{b:02x}" for b in d.encode()),
+                lambda d: "".join(f"\\u{ord(c):04x}" for c in d),
+                lambda d: "\n".join(base64.encodebytes(d.encode()).decode().split()),
+            ]
+        )(data)
+    return data
+
+
+def test_random_layers_are_all_undone():
+    rng = random.Random(4)
+    for _ in range(150):
+        head, tail = rng.choice(["", "see: ", "a b c "]), rng.choice(["", " end.", "\nmore"])
+        inner = nested(rng, "here is token = abcdefgh12345678 for you")
+        text = head + inner + tail
+        _, spans = find_secrets(text)
+        # a word on the line after wrapped base64 may count as its last line
+        assert any(kind == "assign" and len(head) <= a < b <= len(text) for kind, a, b in spans), text

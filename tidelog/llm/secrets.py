@@ -42,6 +42,8 @@ UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})
 UNICODE_ONE = re.compile(r"\\[uUx]([0-9A-Fa-f]+)")
 #: A run of either base64 alphabet that is long enough to hold a secret.
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Characters of the alphabets that also join words and paths, and how base64 of compressed data begins behind one.
+JOINER, PACKED = re.compile(r"[+/_-]"), re.compile(r"(?<=[+/_-])(?:H4sI|e[JANF]|Qlpo|[/_]Td6)")
 #: Runs on lines that follow each other, blanks around the breaks allowed, and the run of one line.
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[\x20\t]*+\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)+={0,2}")
 RUN = re.compile(r"[A-Za-z0-9+/_-]+")
@@ -252,15 +254,34 @@ def _lines(text: str) -> Iterator[tuple[int, int, str]]:
                 yield at[i][0], m.end() if j == n else at[j - 1][1], "".join(text[a:b] for a, b in at[i:j])
 
 
+def _decoded(run: str) -> bytes | None:
+    run = run.rstrip("=").replace("-", "+").replace("_", "/")
+    run = run[: len(run) - (len(run) % 4 == 1)]  # a single character holds no byte
+    try:
+        return base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
+    except (binascii.Error, ValueError):
+        return None
+
+
+def _begun(run: str) -> Iterator[int]:
+    """Where in a run base64 may begin: at its start; if a path or a word is joined before it, at each
+    alignment that a joiner gives, as what is cut off by that is a byte or two; and where compressed data begins.
+    """
+    yield 0
+    if (raw := _decoded(run)) is not None and (_clean(raw) or _decompressor(raw) is not None):
+        return  # nothing is joined before it
+    joined = {m.end() % 4 for m in JOINER.finditer(run)} - {0}
+    yield from sorted(a for a in joined if len(run) - a >= LEAST)
+    for m in PACKED.finditer(run):
+        if m.start() > 3 and _decompressor(_decoded(run[m.start() : m.start() + 64]) or b"") is not None:
+            yield m.start()
+
+
 def _blobs(layer: Layer) -> Iterator[Layer]:
-    """What base64 runs hold, each as a layer whose characters all come from the whole run."""
-    runs = ((m.start(), m.end(), m.group()) for m in BASE64.finditer(layer.text))
+    """What base64 runs hold, each as a layer whose characters all come from the whole run, or the part that is decoded."""
+    runs = ((m.start() + at, m.end(), m.group()[at:]) for m in BASE64.finditer(layer.text) for at in _begun(m.group()))
     for start, end, run in chain(runs, _lines(layer.text)):
-        run = run.rstrip("=").replace("-", "+").replace("_", "/")
-        run = run[: len(run) - (len(run) % 4 == 1)]  # a single character holds no byte
-        try:
-            raw = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
-        except (binascii.Error, ValueError):
+        if (raw := _decoded(run)) is None:
             continue
         whole, read = _innermost(raw)
         if whole is raw and start and ESCAPED.match(layer.text, start - 1) and not _clean(raw):
