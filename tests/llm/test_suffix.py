@@ -61,7 +61,7 @@ def covered_words(texts, short):
 
 
 @pytest.mark.parametrize("most", [2048, 3, 1])
-def test_both_lengths_in_one_sort(spark, most):
+def test_both_lengths_in_one_run(spark, most):
     """Spans of 33 bytes stay what they are, and the shorter strings tell the passages."""
     rng = random.Random(8)
     part = lambda n: " ".join(rng.choice(["a", "bc", "déf", "ghij"]) for _ in range(n))

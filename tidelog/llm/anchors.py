@@ -56,21 +56,25 @@ def owned_starts(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray
     return place, first, last
 
 
-def anchors(text: bytes, length: int, gram: int, reach: int = 0) -> list[tuple[int, int, int, int, int]]:
-    """(anchor hash, context hash, anchor place, first start, last start) over all windows of the text.
+def anchors(text: bytes, lengths: tuple[int, ...], gram: int) -> list[tuple[int, int, int, int, int]]:
+    """(anchor hash, context hash, anchor place, first start, last start) over all windows of the text, for each length.
 
-    The context runs from the first start to `reach` bytes (those of a window at least) from the last one, or to the
-    text's end; its hash also covers the anchor's place in it and the number of starts. An empty list for texts
-    shorter than `length`.
+    The last bit of an anchor's hash is the place of its length among the (one or two) lengths. The context runs from the first start to
+    the end of the last window; its hash also covers the anchor's place in it. A length beyond the text's has no windows.
     """
-    reach = max(length, reach)
     out = []
-    for start in range(0, len(text) - length + 1, PIECE):
-        piece = text[start : start + PIECE + length - 1]
-        hashes = gram_hashes(np.frombuffer(piece, np.uint8), gram)
-        places, firsts, lasts = owned_starts(hashes, length - gram + 1)
-        # the least of many hashes is small: spread again, so that its upper bits tell anchors apart
-        for h, place, first, last in zip(mix64(hashes[places]).view(np.int64).tolist(), places.tolist(), firsts.tolist(), lasts.tolist(), strict=True):
-            context = xxhash.xxh3_64_intdigest(text[start + first : start + last + reach], last - first << 32 | place - first)
-            out.append((h, context - (context >> 63 << 64), start + place, start + first, start + last))
+    for start in range(0, len(text) - min(lengths) + 1, PIECE):
+        piece = text[start : start + PIECE + max(lengths) - 1]
+        grams = gram_hashes(np.frombuffer(piece, np.uint8), gram)
+        for level, length in enumerate(lengths):
+            n = min(len(piece), PIECE + length - 1)
+            if n < length:
+                continue
+            hashes = grams[: n - gram + 1]
+            places, firsts, lasts = owned_starts(hashes, length - gram + 1)
+            # the least of many hashes is small: spread again, so that its upper bits tell anchors apart
+            spread = (mix64(hashes[places], level) & ~np.uint64(1) | np.uint64(level)).view(np.int64)
+            for h, place, first, last in zip(spread.tolist(), places.tolist(), firsts.tolist(), lasts.tolist(), strict=True):
+                context = xxhash.xxh3_64_intdigest(piece[first : last + length], place - first)
+                out.append((h, context - (context >> 63 << 64), start + place, start + first, start + last))
     return out

@@ -7,11 +7,13 @@ among the contexts of one anchor hash, never over the whole corpus at once.
 2. Equal contexts are counted first. What occurs twice as a whole is repeated as a whole.
 3. The distinct contexts of an anchor hash go to one suffix sorter, in blocks. Only suffixes smaller than
    their successors are sorted directly; the others follow by a scan of the buckets of first bytes.
-   Neighbours whose common prefix reaches `length` are repeated windows. If passages are asked for, contexts are
-   those of a shorter window and reach further, so that one sort tells both lengths.
+   Neighbours whose common prefix reaches `length` are repeated windows.
 4. A hash with too many distinct contexts for one block is cut finer: windows at like offsets from
    the anchor go together if the bytes that they must share are equal; in the end each window
    by itself, where equal ones are one context and are settled by their count.
+
+If passages are asked for, windows of a second, shorter length go the same way beside the others. The last bit of a hash
+tells which of the lengths it belongs to, so the two never meet.
 """
 
 from __future__ import annotations
@@ -106,30 +108,21 @@ def sorted_suffixes(text: bytes, limit: np.ndarray, wanted: np.ndarray, depth: i
     return out[np.isin(out, wanted)]
 
 
-def repeated_windows(contexts: list[bytes], length: int, short: int | None = None, starts: list[int] | None = None):
-    """For each context, the ranges (first, last) of the starts of its windows that occur twice or more in them all.
-
-    With `short`, a pair of such lists: for windows of `length` bytes, and for those of `short` bytes. starts, if given,
-    is how many windows of each context count, from its first byte on.
-    """
-    text, low = b"".join(contexts), short or length
+def repeated_windows(contexts: list[bytes], length: int) -> list[list[tuple[int, int]]]:
+    """For each context, the ranges (first, last) of the starts of its windows that occur twice or more in them all."""
+    text = b"".join(contexts)
     sizes = np.array([len(c) for c in contexts], np.int64)
     begin = np.cumsum(sizes) - sizes
     limit = np.repeat(begin + sizes, sizes)
-    own = np.maximum(sizes - low + 1, 0)
-    if starts is not None:
-        own = np.minimum(own, np.array(starts, np.int64))
-    wanted = np.concatenate([np.arange(b, b + s) for b, s in zip(begin, own, strict=True)]) if len(contexts) else np.empty(0, np.int64)
-    far, near = np.zeros(len(text) + 1, bool), np.zeros(len(text) + 1, bool)
+    starts = np.maximum(sizes - length + 1, 0)
+    wanted = np.concatenate([np.arange(b, b + s) for b, s in zip(begin, starts, strict=True)]) if len(contexts) else np.empty(0, np.int64)
+    repeated = np.zeros(len(text) + 1, bool)
     order = sorted_suffixes(text, limit, wanted, length).tolist() if len(wanted) else []
     for i, j in zip(order, order[1:]):
-        # the adjacent common prefix matters only in which of the two lengths it reaches
-        if text[i : i + low] == text[j : j + low]:
-            near[i] = near[j] = True
-            if max(i + length - limit[i], j + length - limit[j]) <= 0 and text[i + low : i + length] == text[j + low : j + length]:
-                far[i] = far[j] = True
-    both = [[_ranges(flags[b : b + n]) for b, n in zip(begin.tolist(), own.tolist(), strict=True)] for flags in (far, near)]
-    return list(zip(*both, strict=True)) if short else both[0]
+        # the adjacent common prefix matters only in whether it reaches the length
+        if text[i : i + length] == text[j : j + length]:
+            repeated[i] = repeated[j] = True
+    return [_ranges(repeated[b : b + s]) for b, s in zip(begin.tolist(), starts.tolist(), strict=True)]
 
 
 def _ranges(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -140,15 +133,15 @@ def _ranges(flags: np.ndarray) -> list[tuple[int, int]]:
 # ---- over Spark
 
 
-def _hashed(batches: Iterator[pa.RecordBatch], length: int, short: int, gram: int) -> Iterator[pa.RecordBatch]:
+def _hashed(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...], gram: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
-            found = [(a[0], a[1]) for t in batch.column(0).slice(at, 512).to_pylist() for a in anchors(t.encode(), short, gram, length)]
+            found = [(a[0], a[1]) for t in batch.column(0).slice(at, 512).to_pylist() for a in anchors(t.encode(), lengths, gram)]
             h, c = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_pydict({"h": pa.array(h, pa.int64()), "c": pa.array(c, pa.int64())})
 
 
-def _contexts(batches: Iterator[pa.RecordBatch], length: int, short: int, gram: int, repeated, mixed) -> Iterator[pa.RecordBatch]:
+def _contexts(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...], gram: int, repeated, mixed) -> Iterator[pa.RecordBatch]:
     """Anchors whose hash may repeat; those whose contexts may differ come with the content, once for each task.
 
     h is the anchor's hash, c its context's; span holds the first start in the upper and the last in the lower half.
@@ -161,7 +154,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int, short: int, gram:
             out: list[list] = [[] for _ in names]
             for text_hash, t in zip(*[batch.column(c).to_pylist() for c in ("text_hash", "text")], strict=True):
                 data = t.encode()
-                found = anchors(data, short, gram, length)
+                found = anchors(data, lengths, gram)
                 if not found:
                     continue
                 hashes = np.array([a[0] for a in found], np.int64)
@@ -173,65 +166,66 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int, short: int, gram:
                         if len(sent) >= 100_000:
                             sent.clear()
                         sent.add((h, c))
-                        content = data[first : last + length]
+                        content = data[first : last + lengths[h & 1]]
                     for column, value in zip(out, (text_hash, h, c, first << 32 | last, place - first if content else None, content), strict=True):
                         column.append(value)
             kinds = (*[pa.int64()] * 5, pa.binary())
             yield pa.RecordBatch.from_pydict({n: pa.array(v, k) for n, v, k in zip(names, out, kinds, strict=True)})
 
 
-def _sorter(batches: Iterator[pa.RecordBatch], length: int, short: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, sub, starts, content), sorted by key: ranges of repeated windows of each, sorted in blocks of whole keys.
-
-    level is 0 for ranges of windows of `length` bytes, 1 for those of `short` bytes.
-    """
-    held: list[tuple[int, int, int, bytes]] = []
+def _sorter(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, sub, content), sorted by key: ranges of repeated windows of each, sorted in blocks of whole keys."""
+    held: list[tuple[int, int, bytes]] = []
     size = 0
 
     def settle():
-        found = repeated_windows([x[3] for x in held], length, short, [x[2] for x in held])
-        rows = [(x[0], x[1], a, b, level) for x, both in zip(held, found, strict=True) for level in range(1 + (short < length)) for a, b in both[level]]
-        columns = list(zip(*rows, strict=True)) or [()] * 5
-        return pa.RecordBatch.from_pydict({n: pa.array(v, pa.int64()) for n, v in zip(("key", "sub", "r0", "r1", "level"), columns, strict=True)})
+        rows = []
+        for level, length in enumerate(lengths):
+            mine = [x for x in held if x[0] & 1 == level]
+            ranges = repeated_windows([x[2] for x in mine], length)
+            rows += [(k, s, a, b) for (k, s, _), found in zip(mine, ranges, strict=True) for a, b in found]
+        columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+        return pa.RecordBatch.from_pydict({n: pa.array(v, pa.int64()) for n, v in zip(("key", "sub", "r0", "r1"), columns, strict=True)})
 
     for batch in batches:
-        for row in zip(*[batch.column(c).to_pylist() for c in ("key", "sub", "starts", "content")], strict=True):
+        for row in zip(*[batch.column(c).to_pylist() for c in ("key", "sub", "content")], strict=True):
             if size >= BLOCK_BYTES and row[0] != held[-1][0]:
                 yield settle()
                 held, size = [], 0
             held.append(row)
-            size += len(row[3])
+            size += len(row[2])
     if held:
         yield settle()
 
 
-def _cut(batches: Iterator[pa.RecordBatch], length: int, short: int, width: int) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...], width: int) -> Iterator[pa.RecordBatch]:
     """Contexts cut into pieces of windows whose distance to the anchor falls into one step of `width`.
 
     All windows of a step contain the bytes between its last start and its first end, also when a
     context has only some of them; that core is their common key.
     """
-    names = ("h", "c", "key", "sub", "off", "starts", "content")
+    names = ("h", "c", "key", "sub", "off", "content")
     for batch in batches:
         out: list[list] = [[] for _ in names]
-        for h, c, place, starts, content in zip(*[batch.column(x).to_pylist() for x in ("h", "c", "place", "starts", "content")], strict=True):
-            for step in range((place - starts + 1) // width, place // width + 1):
+        for h, c, place, content in zip(*[batch.column(x).to_pylist() for x in ("h", "c", "place", "content")], strict=True):
+            length = lengths[h & 1]
+            for step in range((place - (len(content) - length)) // width, place // width + 1):
                 start = max(0, place - step * width - width + 1)
-                last = min(starts - 1, place - step * width)
-                core = content[place - step * width : place - step * width - width + 1 + short]
+                last = min(len(content) - length, place - step * width)
+                core = content[place - step * width : place - step * width - width + 1 + length]
                 piece = content[start : last + length]
                 key = xxhash.xxh3_64_intdigest(core, (h ^ (step + 1) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
-                sub = xxhash.xxh3_64_intdigest(piece, last - start << 32 | place - start)
-                for column, value in zip(out, (h, c, signed(key), signed(sub), start, last - start + 1, piece), strict=True):
+                sub = xxhash.xxh3_64_intdigest(piece, place - start)
+                for column, value in zip(out, (h, c, signed(key & ~1 | h & 1), signed(sub), start, piece), strict=True):
                     column.append(value)
-        kinds = (*[pa.int64()] * 6, pa.binary())
+        kinds = (*[pa.int64()] * 5, pa.binary())
         yield pa.RecordBatch.from_pydict({n: pa.array(v, k) for n, v, k in zip(names, out, kinds, strict=True)})
 
 
-def _sorted_ranges(distinct: DataFrame, length: int, short: int) -> DataFrame:
-    """key, sub, r0, r1, level from distinct (key, sub, starts, content)."""
-    return distinct.select("key", "sub", "starts", "content").repartition("key").sortWithinPartitions("key", "sub").mapInArrow(
-        lean(lambda it: _sorter(it, length, short)), "key long, sub long, r0 long, r1 long, level long"
+def _sorted_ranges(distinct: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """key, sub, r0, r1 from distinct (key, sub, content)."""
+    return distinct.select("key", "sub", "content").repartition("key").sortWithinPartitions("key", "sub").mapInArrow(
+        lean(lambda it: _sorter(it, lengths)), "key long, sub long, r0 long, r1 long"
     )
 
 
@@ -260,9 +254,7 @@ def _kept(batches: Iterator[pa.RecordBatch], length: int, short: int, full: bool
             for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
                 data = text.encode()
                 found = [(r >> 32, r & 0x7FFFFFFF, r >> 31 & 1) for r in ranges or ()]
-                # a context at a text's end has starts that are too late for a long window
-                long = [(a, min(b + length, len(data))) for a, b, level in found if not level and a + length <= len(data)]
-                spans = _united(long)
+                spans = _united([(a, b + length) for a, b, level in found if not level])
                 at_, parts = 0, []
                 for a, b in spans:
                     parts.append(data[at_:a])
@@ -272,7 +264,7 @@ def _kept(batches: Iterator[pa.RecordBatch], length: int, short: int, full: bool
                 out["n_removed"].append(len(data) - len(kept))
                 out["n_spans"].append(len(spans))
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                out["has_passage"].append(any(_words(data, a, b) > PASSAGE_WORDS for a, b in _united([(a, b + short) for a, b, _ in found])))
+                out["has_passage"].append(any(_words(data, a, b) > PASSAGE_WORDS for a, b in _united([(a, b + short) for a, b, level in found if level])))
                 if full:
                     out["spans"].append([{"start": a, "end": b} for a, b in spans])
                     out["kept"].append(kept)
@@ -302,6 +294,7 @@ def remove_repeats(
     anywhere else too cover a run of more than PASSAGE_WORDS words. It takes nothing away.
     """
     short = min(short or length, length)
+    lengths = (length, short) if short < length else (length,)
     gram = gram or max(1, short // 4)
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text", F.octet_length("text")))
@@ -309,48 +302,43 @@ def remove_repeats(
     long_enough = docs.where(F.octet_length("text") >= short)
 
     # hashes that occur twice or more, and whether with different contexts
-    hashed = long_enough.select("text").mapInArrow(lean(lambda it: _hashed(it, length, short, gram)), "h long, c long")
+    hashed = long_enough.select("text").mapInArrow(lean(lambda it: _hashed(it, lengths, gram)), "h long, c long")
     seen = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"))
     seen = staged(seen.where("n > 1").select("h", (F.col("lo") != F.col("hi")).alias("mixed")), "anchors")
     share = spark.sparkContext.broadcast
     repeated, mixed = share(filter_bits(seen, "h", FILTER_BITS)), share(filter_bits(seen.where("mixed"), "h", FILTER_BITS))
 
     schema = "text_hash long, h long, c long, span long, place long, content binary"
-    found = staged(long_enough.select("text_hash", "text").mapInArrow(lean(lambda it: _contexts(it, length, short, gram, repeated, mixed)), schema), "contexts")
+    found = staged(long_enough.select("text_hash", "text").mapInArrow(lean(lambda it: _contexts(it, lengths, gram, repeated, mixed)), schema), "contexts")
     counts = staged(found.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n")), "counts")
     per_hash = staged(counts.groupBy("h").agg(F.count(F.lit(1)).alias("distinct")).where(F.col("distinct") > 1), "hashes")
-    starts = (F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)) - F.shiftright("span", 32) + 1).alias("starts")
-    texts = found.where(F.col("content").isNotNull()).select("h", "c", "place", starts, "content").dropDuplicates(["h", "c"])
+    texts = found.where(F.col("content").isNotNull()).select("h", "c", "place", "content").dropDuplicates(["h", "c"])
     texts = staged(texts.join(per_hash, "h"), "texts")
     few = F.col("distinct") <= most_contexts
-    ranges = _sorted_ranges(texts.where(few).select(F.col("h").alias("key"), F.col("c").alias("sub"), "starts", "content"), length, short)
+    ranges = _sorted_ranges(texts.where(few).select(F.col("h").alias("key"), F.col("c").alias("sub"), "content"), lengths)
     results = [ranges.withColumnsRenamed({"key": "h", "sub": "c"})]
 
     # hashes with too many contexts: finer and finer
-    level = lambda n: F.lit(n).cast("long").alias("level")
+    window = F.when(F.col("h").bitwiseAND(F.lit(1)) == 0, length).otherwise(short)
     many = texts.where(~few)
     for width in CUTS:
         if not many.head(1):
             break
         pieces = staged(
-            many.select("h", "c", "place", "starts", "content").mapInArrow(
-                lean(lambda it, width=width: _cut(it, length, short, width)), "h long, c long, key long, sub long, off long, starts long, content binary"
+            many.select("h", "c", "place", "content").mapInArrow(
+                lean(lambda it, width=width: _cut(it, lengths, width)), "h long, c long, key long, sub long, off long, content binary"
             ),
             "pieces",
         )
         copies = pieces.groupBy("key", "sub").agg(F.count(F.lit(1)).alias("n"))
         per_key = copies.groupBy("key").agg(F.count(F.lit(1)).alias("distinct"))
-        whole = pieces.select("h", "c", "key", "sub", "off", "starts").join(copies.where("n > 1"), ["key", "sub"])
-        last = (F.col("off") + F.col("starts") - 1).alias("r1")
-        results.append(whole.select("h", "c", F.col("off").alias("r0"), last, level(0)))
+        whole = pieces.join(copies.where("n > 1"), ["key", "sub"])
+        results.append(whole.select("h", "c", F.col("off").alias("r0"), (F.col("off") + F.octet_length("content") - window).alias("r1")))
         rest = pieces.join(per_key.where(F.col("distinct") > 1), "key")
-        if width == 1:  # single windows: equal keys are equal short windows, equal contents equal long ones
-            results.append(rest.select("h", "c", F.col("off").alias("r0"), F.col("off").alias("r1"), level(1)))
-            break
         distinct = rest.where(F.col("distinct") <= most_contexts).dropDuplicates(["key", "sub"])
-        small = _sorted_ranges(distinct, length, short)
+        small = _sorted_ranges(distinct, lengths)
         back = pieces.select("h", "c", "key", "sub", "off").join(small, ["key", "sub"])
-        results.append(back.select("h", "c", (F.col("off") + F.col("r0")).alias("r0"), (F.col("off") + F.col("r1")).alias("r1"), "level"))
+        results.append(back.select("h", "c", (F.col("off") + F.col("r0")).alias("r0"), (F.col("off") + F.col("r1")).alias("r1")))
         heavy = rest.where(F.col("distinct") > most_contexts).select("h", "c").distinct()
         many = texts.join(heavy, ["h", "c"], "left_semi")
 
@@ -358,12 +346,13 @@ def remove_repeats(
     for more in results[1:]:
         within = within.unionByName(more)
     # a context that occurs twice is one range, the others have those that were found inside
-    twice = counts.where("n > 1").select("h", "c", F.lit(0).cast("long").alias("r0"), F.lit(None).cast("long").alias("r1"), level(0))
+    twice = counts.where("n > 1").select("h", "c", F.lit(0).cast("long").alias("r0"), F.lit(None).cast("long").alias("r1"))
     once = within.join(counts.where("n = 1").select("h", "c"), ["h", "c"], "left_semi")
     places = found.select("text_hash", "h", "c", "span").join(twice.unionByName(once), ["h", "c"])
     first, last = F.shiftright("span", 32), F.col("span").bitwiseAND(F.lit(0xFFFFFFFF))
-    low = F.coalesce(first + F.col("r1"), last).bitwiseOR(F.shiftleft("level", 31))
-    ranges = F.shiftleft(first + F.col("r0"), 32).bitwiseOR(low)
+    start = first + F.col("r0")
+    level = F.shiftleft(F.col("h").bitwiseAND(F.lit(1).cast("long")), 31)
+    ranges = F.shiftleft(start, 32).bitwiseOR(F.coalesce(first + F.col("r1"), last)).bitwiseOR(level)
     per_text = places.select("text_hash", ranges.alias("range")).groupBy("text_hash").agg(F.collect_set("range").alias("ranges"))
     per_text = staged(per_text, "ranges")
 
