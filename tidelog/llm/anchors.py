@@ -7,6 +7,8 @@ offsets, and each window start belongs to exactly one anchor.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import xxhash
 
@@ -56,11 +58,14 @@ def owned_starts(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray
     return place, first, last
 
 
-def anchors(text: bytes, lengths: tuple[int, ...], gram: int) -> list[tuple[int, int, int, int, int]]:
+def anchors(
+    text: bytes, lengths: tuple[int, ...], gram: int, wanted: Callable[[np.ndarray], np.ndarray] | None = None
+) -> list[tuple[int, int, int, int, int]]:
     """(anchor hash, context hash, anchor place, first start, last start) over all windows of the text, for each length.
 
     The last bit of an anchor's hash is the place of its length among the (one or two) lengths. The context runs from the first start to
     the end of the last window; its hash also covers the anchor's place in it. A length beyond the text's has no windows.
+    wanted tells from an array of anchor hashes which of them to go on with.
     """
     out = []
     for start in range(0, len(text) - min(lengths) + 1, PIECE):
@@ -74,6 +79,8 @@ def anchors(text: bytes, lengths: tuple[int, ...], gram: int) -> list[tuple[int,
             places, firsts, lasts = owned_starts(hashes, length - gram + 1)
             # the least of many hashes is small: spread again, so that its upper bits tell anchors apart
             spread = (mix64(hashes[places], level) & ~np.uint64(1) | np.uint64(level)).view(np.int64)
+            if wanted is not None:
+                places, firsts, lasts, spread = (x[some] for some in [wanted(spread)] for x in (places, firsts, lasts, spread))
             for h, place, first, last in zip(spread.tolist(), places.tolist(), firsts.tolist(), lasts.tolist(), strict=True):
                 context = xxhash.xxh3_64_intdigest(piece[first : last + length], place - first)
                 out.append((h, context - (context >> 63 << 64), start + place, start + first, start + last))

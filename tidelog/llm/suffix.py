@@ -37,8 +37,8 @@ PASSAGE_WORDS, PASSAGE_BYTES = 50, 250
 FILTER_BITS = 26
 #: Distinct contexts of a key that one sorter takes, and the bytes of suffixes that it sorts at a time.
 MOST_CONTEXTS, BLOCK_BYTES = 2048, 1 << 20
-#: Widths of the finer cuts.
-CUTS = (16, 1)
+#: Widths of the finer cuts; each is taken only by what the one before leaves too large.
+CUTS = (64, 16, 4, 1)
 
 
 def signed(h: int) -> int:
@@ -154,15 +154,11 @@ def _contexts(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...], gram:
             out: list[list] = [[] for _ in names]
             for text_hash, t in zip(*[batch.column(c).to_pylist() for c in ("text_hash", "text")], strict=True):
                 data = t.encode()
-                found = anchors(data, lengths, gram)
-                if not found:
-                    continue
-                hashes = np.array([a[0] for a in found], np.int64)
-                differs = may_hold(mixed, hashes)
-                for i in np.flatnonzero(may_hold(repeated, hashes)).tolist():
-                    h, c, place, first, last = found[i]
+                found = anchors(data, lengths, gram, lambda h: may_hold(repeated, h))
+                differs = may_hold(mixed, np.array([a[0] for a in found], np.int64)).tolist()
+                for (h, c, place, first, last), differ in zip(found, differs, strict=True):
                     content = None
-                    if differs[i] and (h, c) not in sent:
+                    if differ and (h, c) not in sent:
                         if len(sent) >= 100_000:
                             sent.clear()
                         sent.add((h, c))
@@ -295,7 +291,7 @@ def remove_repeats(
     """
     short = min(short or length, length)
     lengths = (length, short) if short < length else (length,)
-    gram = gram or max(1, short // 4)
+    gram = gram or max(1, short // 6)
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text", F.octet_length("text")))
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -321,7 +317,7 @@ def remove_repeats(
     # hashes with too many contexts: finer and finer
     window = F.when(F.col("h").bitwiseAND(F.lit(1)) == 0, length).otherwise(short)
     many = texts.where(~few)
-    for width in CUTS:
+    for width in (w for w in CUTS if w == 1 or 2 * w <= short):  # the windows of a step must have a core in common
         if not many.head(1):
             break
         pieces = staged(
