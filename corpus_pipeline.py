@@ -13,10 +13,18 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language, or with none that the evidence makes likely, go; the others keep all columns."""
+    """Documents without a language, or with none that the evidence makes likely, go; the others keep all columns.
+
+    The scored evidence is staged without texts; only texts that may belong to a rejected row are shuffled.
+    Rows with the same doc_id, text, declaration and source are judged alike; null and empty texts go.
+    """
     ship(spark)
     plain, restore = set_aside(docs, ["doc_id", "text", "lang", "source"])
-    return restore(langid.identify_documents(plain).where("kept"))
+    text, lang, source = F.coalesce("text", F.lit("")), F.col("lang"), F.col("source")
+    hashed = plain.withColumn("text_hash", F.xxhash64(text, lang.isNull(), lang, source.isNull(), source))
+    judged = langid.identify_documents(hashed.select("doc_id", "text_hash", "text", "lang", "source"), keep_text=False)
+    rejected = judged.where(~F.col("kept")).select("doc_id", "text_hash").distinct().withColumn("goes", F.lit(True))
+    return restore(with_row_info(hashed, staged(rejected, "rejected"), "goes").where(F.col("goes").isNull()))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
