@@ -1,12 +1,16 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 
+from tidelog.llm import anchors as anchoring
+from tidelog.llm import suffix
 from tidelog.llm.anchors import owned_starts
+from tidelog.llm.common import filter_bits, may_hold, staged
 from tidelog.llm.suffix import remove_repeats, repeated_windows
 
 
@@ -109,3 +113,58 @@ def test_anchors_own_every_window_once():
                     assert i not in found
                     found[i] = place
             assert found == {i: i + int(np.argmin(h[i : i + w])) for i in range(n - w + 1)}
+
+
+def test_anchors_of_texts_together_are_those_of_each_alone(monkeypatch):
+    rng = random.Random(3)
+    texts = [bytes(rng.choice(b"abc ") for _ in range(rng.choice([0, 5, 19, 20, 33, 40, 300, 2000]))) for _ in range(60)]
+
+    def found(texts):
+        return {x for a in anchoring.anchors(texts, (33, 20), 4) for x in zip(*(column.tolist() for column in a))}
+
+    def windows(rows):
+        return {(o, h, place, i) for o, h, _, place, first, last in rows for i in range(first, last + 1)}
+
+    alone = {(i, *x) for i, t in enumerate(texts) for _, *x in found([t])}
+    assert found(texts) == alone
+    assert sorted((o, h & 1, i) for o, h, _, i in windows(alone)) == sorted((o, k, i) for o, t in enumerate(texts) for k, n in enumerate((33, 20)) for i in range(len(t) - n + 1))
+    monkeypatch.setattr(anchoring, "PIECE", 100)
+    monkeypatch.setattr(anchoring, "TOGETHER", 50)
+    assert windows(found(texts)) == windows(alone)
+
+
+def test_only_windows_that_may_repeat_are_sorted(monkeypatch):
+    rng = random.Random(2)
+    contexts = [bytes(rng.randrange(256) for _ in range(200)) for _ in range(3)]
+    contexts[2] = contexts[2][:80] + contexts[0][50:90] + contexts[2][80:]
+    asked = []
+    sort = suffix.sorted_suffixes
+    monkeypatch.setattr(suffix, "sorted_suffixes", lambda text, limit, wanted, depth: asked.extend(wanted.tolist()) or sort(text, limit, wanted, depth))
+    assert repeated_windows(contexts, 30) == [[(50, 60)], [], [(80, 90)]]
+    assert len(asked) == 22
+
+
+def test_staging_leaves_no_shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    count = lambda: files.getAllFiles().mkString(" ").count("/shuffle_")
+    before = count()
+    assert len(staged(spark.range(1000).groupBy("id").count(), "test").collect()) == 1000
+    for _ in range(50):
+        if count() <= before:
+            break
+        time.sleep(0.1)
+    assert count() <= before
+
+
+@pytest.mark.parametrize("lower", [False, True])
+def test_filter_bits_of_lists(spark, lower):
+    rng = random.Random(4)
+    lists = [[rng.randrange(-(1 << 63), 1 << 63) for _ in range(rng.randrange(5))] for _ in range(200)]
+    lists += [lists[i] for i in range(0, 100, 3)]
+    df = spark.createDataFrame([(x,) for x in lists], "x array<long>").repartition(5)
+    n = Counter(v for x in lists for v in x)
+    at = lambda v: np.array([v << 44 & (1 << 64) - 1 if lower else v & (1 << 64) - 1], np.uint64).view(np.int64)
+    for least in (1, 2):
+        bits = filter_bits(df, "x", 20, least=least, lower=lower)
+        assert all(may_hold(bits, at(v))[0] for v in n if n[v] >= least)
+        assert np.unpackbits(bits).sum() <= sum(n[v] >= least for v in n) + (least - 1) * 2

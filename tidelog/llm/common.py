@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import gc
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,8 +38,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
     This cuts lineage, and a lost executor costs only the tasks that read the table. The table is
-    columnar, so later steps read only the columns they use. The driver's JVM deletes all of them
-    when it ends; release() does before.
+    columnar, so later steps read only the columns they use. The shuffle files behind it go as soon as it is
+    written. The driver's JVM deletes all tables when it ends; release() does before.
     """
     spark = df.sparkSession
     folder = home(spark)
@@ -45,10 +47,29 @@ def staged(df: DataFrame, name: str) -> DataFrame:
         files.delete_on_exit(spark, folder)
         _homes.add(folder)
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _without_shuffle_files(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Spark else keeps an execution's shuffle files until the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _without_shuffle_files(spark: SparkSession) -> Iterator[None]:
+    """Executions that begin inside delete their shuffle files when they end."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 _homes: set[str] = set()
 
 
@@ -122,19 +143,63 @@ def set_aside(rows: DataFrame, used: list[str]):
     return rows.toDF(*names.values()), restore
 
 
-def filter_bits(rows: DataFrame, column: str, bits: int) -> np.ndarray:
-    """A bit for each value of the upper `bits` bits of a long column: which of them occur.
-
-    Its size is fixed. However many values there are, it only ever lets too much through, so what
-    passes must still be joined exactly.
+#: Places of a filter come in blocks of so many bits.
+_BLOCK_BITS = 15
+
+
+def _placed(batches: Iterator[pa.RecordBatch], bits: int, lower: bool) -> Iterator[pa.RecordBatch]:
+    """(block, places) of the values of a long or array<long> column: 15 bits of each distinct place, and one for "twice or more"."""
+    held, size = [], 0
+
+    def packed():
+        place, n = np.unique(np.concatenate(held), return_counts=True)
+        block = place >> np.uint32(_BLOCK_BITS)
+        first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        low = (place & np.uint32(0x7FFF)).astype("<u2") | (n > 1).astype("<u2") << np.uint16(15)
+        offsets = pa.py_buffer(np.concatenate([2 * first, [2 * len(low)]]).astype(np.int32))
+        places = pa.Array.from_buffers(pa.binary(), len(first), [None, offsets, pa.py_buffer(low)])
+        return pa.RecordBatch.from_pydict({"block": pa.array(block[first].astype(np.int32)), "places": places})
+
+    for batch in batches:
+        column = batch.column(0)
+        values = (column.flatten() if pa.types.is_list(column.type) else column).to_numpy().view(np.uint64)
+        place = values & np.uint64((1 << bits) - 1) if lower else values >> np.uint64(64 - bits)
+        if len(place):
+            held.append(place.astype(np.uint32))
+            size += len(place)
+        if size >= 1 << 21:
+            yield packed()
+            held, size = [], 0
+    if held:
+        yield packed()
+
+
+def _block_bits(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The compressed bitmap of each block, from whole blocks."""
+    blocks: dict[int, list[bytes]] = {}
+    for batch in batches:
+        for block, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            blocks.setdefault(block, []).append(places)
+    for block, parts in blocks.items():
+        places = np.frombuffer(b"".join(parts), "<u2")
+        n = np.bincount(places & 0x7FFF, minlength=1 << _BLOCK_BITS)
+        n[places[places >> 15 > 0] & 0x7FFF] += 1
+        if (n >= least).any():
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "bits": [zlib.compress(np.packbits(n >= least, bitorder="little").tobytes(), 1)]})
+
+
+def filter_bits(rows: DataFrame, column: str, bits: int, least: int = 1, lower: bool = False) -> np.ndarray:
+    """A bit for each value of the upper (or lower) `bits` bits, 15 to 32, of a column of longs or arrays of them: which of them occur.
+
+    With least=2: which of them occur twice or more. Its size is fixed. However many values there are, it
+    only ever lets too much through, so what passes must still be joined exactly.
     """
-    place = F.shiftrightunsigned(F.col(column), 64 - bits)
-    blocks = rows.groupBy(F.shiftright(place, 15).alias("block")).agg(
-        F.bitmap_construct_agg(place.bitwiseAND(F.lit(0x7FFF))).alias("bits")
-    )
+    placed = rows.select(column).mapInArrow(lean(lambda it: _placed(it, bits, lower)), "block int, places binary")
+    with _without_shuffle_files(rows.sparkSession):
+        blocks = placed.repartition("block").mapInArrow(lean(lambda it: _block_bits(it, least)), "block int, bits binary").toArrow()
     out = np.zeros(1 << (bits - 3), np.uint8)
-    for block, part in blocks.toLocalIterator():
-        out[block << 12 : (block + 1) << 12] = np.frombuffer(bytes(part), np.uint8)
+    for block, part in zip(blocks["block"].to_pylist(), blocks["bits"].to_pylist(), strict=True):
+        out[block << 12 : (block + 1) << 12] = np.frombuffer(zlib.decompress(part), np.uint8)
     return out
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.anchors import anchors
-from tidelog.llm.common import filter_bits, lean, may_hold, staged, with_row_info
+from tidelog.llm.common import filter_bits, lean, may_hold, prefix_sums, staged, with_row_info
 
 LENGTH = 400
 #: A passage: more words than this in a run of bytes that repeated strings of so many bytes cover.
@@ -108,14 +108,30 @@ def sorted_suffixes(text: bytes, limit: np.ndarray, wanted: np.ndarray, depth: i
     return out[np.isin(out, wanted)]
 
 
+def _not_alone(text: bytes, wanted: np.ndarray, length: int) -> np.ndarray:
+    """Which of the wanted windows have a fingerprint that another one has too."""
+    sums, inverse = prefix_sums(np.frombuffer(text, np.uint8))
+    with np.errstate(over="ignore"):
+        prints = (sums[wanted + length] - sums[wanted]) * inverse[wanted]
+    order = np.argsort(prints)
+    same = np.diff(prints[order]) == 0
+    out = np.zeros(len(wanted), bool)
+    out[order[1:][same]] = out[order[:-1][same]] = True
+    return out
+
+
 def repeated_windows(contexts: list[bytes], length: int) -> list[list[tuple[int, int]]]:
-    """For each context, the ranges (first, last) of the starts of its windows that occur twice or more in them all."""
+    """For each context, the ranges (first, last) of the starts of its windows that occur twice or more in them all.
+
+    Suffixes are sorted where the fingerprint of the window is not the only one of its kind; the others have no equal.
+    """
     text = b"".join(contexts)
     sizes = np.array([len(c) for c in contexts], np.int64)
     begin = np.cumsum(sizes) - sizes
     limit = np.repeat(begin + sizes, sizes)
     starts = np.maximum(sizes - length + 1, 0)
     wanted = np.concatenate([np.arange(b, b + s) for b, s in zip(begin, starts, strict=True)]) if len(contexts) else np.empty(0, np.int64)
+    wanted = wanted[_not_alone(text, wanted, length)] if len(wanted) else wanted
     repeated = np.zeros(len(text) + 1, bool)
     order = sorted_suffixes(text, limit, wanted, length).tolist() if len(wanted) else []
     for i, j in zip(order, order[1:]):
@@ -136,9 +152,9 @@ def _ranges(flags: np.ndarray) -> list[tuple[int, int]]:
 def _hashed(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...], gram: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
-            found = [(a[0], a[1]) for t in batch.column(0).slice(at, 512).to_pylist() for a in anchors(t.encode(), lengths, gram)]
-            h, c = zip(*found) if found else ((), ())
-            yield pa.RecordBatch.from_pydict({"h": pa.array(h, pa.int64()), "c": pa.array(c, pa.int64())})
+            texts = [t.encode() for t in batch.column(0).slice(at, 512).to_pylist()]
+            for _, h, c, *_ in anchors(texts, lengths, gram):
+                yield pa.RecordBatch.from_pydict({"h": pa.array(h), "c": pa.array(c)})
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...], gram: int, repeated, mixed) -> Iterator[pa.RecordBatch]:
@@ -147,30 +163,31 @@ def _contexts(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...], gram:
     h is the anchor's hash, c its context's; span holds the first start in the upper and the last in the lower half.
     """
     repeated, mixed, sent = repeated.value, mixed.value, set()
-    names = ("text_hash", "h", "c", "span", "place", "content")
     for whole in batches:
         for at in range(0, whole.num_rows, 128):
             batch = whole.slice(at, 128)
-            out: list[list] = [[] for _ in names]
-            for text_hash, t in zip(*[batch.column(c).to_pylist() for c in ("text_hash", "text")], strict=True):
-                data = t.encode()
-                found = anchors(data, lengths, gram, lambda h: may_hold(repeated, h))
-                differs = may_hold(mixed, np.array([a[0] for a in found], np.int64)).tolist()
-                for (h, c, place, first, last), differ in zip(found, differs, strict=True):
-                    content = None
-                    if differ and (h, c) not in sent:
+            texts, hashes = [t.encode() for t in batch.column("text").to_pylist()], batch.column("text_hash").to_numpy()
+            for owner, h, c, place, first, last in anchors(texts, lengths, gram, lambda h: may_hold(repeated, h)):
+                content: list[bytes | None] = [None] * len(h)
+                differ = np.flatnonzero(may_hold(mixed, h))
+                ends = last + np.array(lengths)[h & 1]
+                for i, *key, text, a, b in zip(*(x.tolist() for x in (differ, h[differ], c[differ], owner[differ], first[differ], ends[differ])), strict=True):
+                    if tuple(key) not in sent:
                         if len(sent) >= 100_000:
                             sent.clear()
-                        sent.add((h, c))
-                        content = data[first : last + lengths[h & 1]]
-                    for column, value in zip(out, (text_hash, h, c, first << 32 | last, place - first if content else None, content), strict=True):
-                        column.append(value)
-            kinds = (*[pa.int64()] * 5, pa.binary())
-            yield pa.RecordBatch.from_pydict({n: pa.array(v, k) for n, v, k in zip(names, out, kinds, strict=True)})
+                        sent.add(tuple(key))
+                        content[i] = texts[text][a:b]
+                content = pa.array(content, pa.binary())
+                columns = {"text_hash": pa.array(hashes[owner]), "h": pa.array(h), "c": pa.array(c), "span": pa.array(first << 32 | last)}
+                columns["place"] = pa.array(place - first, mask=content.is_null().to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_pydict(columns | {"content": content})
 
 
 def _sorter(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, sub, content), sorted by key: ranges of repeated windows of each, sorted in blocks of whole keys."""
+    """Rows (key, sub, content), sorted by key and sub: ranges of repeated windows of each, sorted in blocks of whole keys.
+
+    A context that comes more than once counts once.
+    """
     held: list[tuple[int, int, bytes]] = []
     size = 0
 
@@ -185,6 +202,8 @@ def _sorter(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...]) -> Iter
 
     for batch in batches:
         for row in zip(*[batch.column(c).to_pylist() for c in ("key", "sub", "content")], strict=True):
+            if held and row[:2] == held[-1][:2]:
+                continue
             if size >= BLOCK_BYTES and row[0] != held[-1][0]:
                 yield settle()
                 held, size = [], 0
@@ -307,18 +326,21 @@ def remove_repeats(
     schema = "text_hash long, h long, c long, span long, place long, content binary"
     found = staged(long_enough.select("text_hash", "text").mapInArrow(lean(lambda it: _contexts(it, lengths, gram, repeated, mixed)), schema), "contexts")
     counts = staged(found.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n")), "counts")
-    per_hash = staged(counts.groupBy("h").agg(F.count(F.lit(1)).alias("distinct")).where(F.col("distinct") > 1), "hashes")
-    texts = found.where(F.col("content").isNotNull()).select("h", "c", "place", "content").dropDuplicates(["h", "c"])
-    texts = staged(texts.join(per_hash, "h"), "texts")
-    few = F.col("distinct") <= most_contexts
-    ranges = _sorted_ranges(texts.where(few).select(F.col("h").alias("key"), F.col("c").alias("sub"), "content"), lengths)
+    # the hashes with too many contexts are few: else the contents are shuffled once, to the sorters
+    heavy = counts.groupBy("h").agg(F.count(F.lit(1)).alias("distinct")).where(F.col("distinct") > most_contexts).select("h")
+    heavy = staged(heavy, "heavy")
+    texts = few = found.where(F.col("content").isNotNull()).select("h", "c", "place", "content")
+    if any_heavy := bool(heavy.head(1)):
+        few = texts.join(heavy, "h", "left_anti")
+        texts = staged(texts.join(heavy, "h", "left_semi").dropDuplicates(["h", "c"]), "texts")
+    ranges = _sorted_ranges(few.select(F.col("h").alias("key"), F.col("c").alias("sub"), "content"), lengths)
     results = [ranges.withColumnsRenamed({"key": "h", "sub": "c"})]
 
     # hashes with too many contexts: finer and finer
     window = F.when(F.col("h").bitwiseAND(F.lit(1)) == 0, length).otherwise(short)
-    many = texts.where(~few)
+    many = texts
     for width in (w for w in CUTS if w == 1 or 2 * w <= short):  # the windows of a step must have a core in common
-        if not many.head(1):
+        if not (any_heavy and many.head(1)):
             break
         pieces = staged(
             many.select("h", "c", "place", "content").mapInArrow(
