@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pandas as pd
 import random
@@ -84,3 +86,23 @@ def test_tokens_that_coincide_lose_no_link():
     for narrowed in (shared, np.where(shared == 5, 4, shared)):
         sides = [pd.DataFrame({"sid": [i], "n": [100]} | {f"p{k}": [np.concatenate([narrowed, own[i]]).astype(np.int32)] for k in range(3)}) for i in (0, 1)]
         assert _passes(*sides, sim).all()
+
+
+def test_prefixes_and_postings_do_not_stay(spark, monkeypatch):
+    tables = {}
+    keep = jaccard.staged
+    monkeypatch.setattr(jaccard, "staged", lambda df, name: tables.setdefault(name, keep(df, name)))
+    rows = [(i, t) for i, t in enumerate(near_copies(5, 6, change=0.01))]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string"), Similarity(3, 8, 10)) == brute(rows, Similarity(3, 8, 10))
+    there = {n for n, t in tables.items() if any(os.path.exists(f.removeprefix("file:")) for f in t.inputFiles())}
+    assert not there & {"prefixes", "postings"} and {"rows", "listed"} <= there
+
+
+def test_sketch_sums_counters_of_all_partitions(spark):
+    texts = [f"a b c d{i % 7} e f" for i in range(900)] + ["x y z"]
+    counts = np.zeros(1 << jaccard.SKETCH_BITS)
+    for t in texts:
+        np.add.at(counts, (jaccard.shingles(t, 3) >> np.uint64(64 - jaccard.SKETCH_BITS)).astype(np.int64), 1)
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    want = np.floor(32 * np.log2(1 + counts)).astype(np.uint64) << np.uint64(48)
+    assert (jaccard.token_levels(df, 3) == want).all()

@@ -52,6 +52,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a staged table before the application ends; nothing that is still to be computed may read it."""
+    for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        files.delete(table.sparkSession, folder)
+
+
 #: Spark else keeps an execution's shuffle files until the driver happens to collect its garbage.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

@@ -29,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import filter_bits, lean, may_hold, mix64, shingle_set, shingles, splittable, staged
+from tidelog.llm.common import discard, filter_bits, lean, may_hold, mix64, shingle_set, shingles, splittable, staged
 from tidelog.llm.graph import components
 
 ORDERS = 3
 #: Counters of the frequency sketch: a fixed size, whatever the data's.
 SKETCH_BITS = 18
+SKETCH_BLOCK = 4096
 #: Posting lists up to this length are joined with themselves.
 SHORT_LIST = 32
 #: Classes in one side of a tile.
@@ -76,23 +77,36 @@ def _prefixes(tokens: np.ndarray, sim: Similarity, levels: np.ndarray) -> list[n
 
 
 def _counted(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(block, width, counts): counters of the sketch, in blocks of SKETCH_BLOCK unsigned integers of `width` bytes."""
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             found = [shingles(t, k) for t in batch.column(0).slice(at, 512).to_pylist()]
             counts += np.bincount((np.concatenate(found) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
-    at = np.flatnonzero(counts)
-    for part in np.array_split(at, max(1, len(at) // 65536)):
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array(part, pa.int32()), "n": pa.array(counts[part], pa.int64())})
+    parts = [(i, part, np.min_scalar_type(part.max())) for i, part in enumerate(counts.reshape(-1, SKETCH_BLOCK)) if part.any()]
+    columns = {"block": [i for i, _, _ in parts], "width": [kind.itemsize for _, _, kind in parts]}
+    columns = {c: pa.array(v, pa.int32()) for c, v in columns.items()}
+    yield pa.RecordBatch.from_pydict(columns | {"counts": pa.array([part.astype(kind).tobytes() for _, part, kind in parts], pa.binary())})
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of whole blocks."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, width, counts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            sums[block] = sums.get(block, 0) + np.frombuffer(counts, f"u{width}").astype(np.int64)
+    for block, total in sums.items():
+        yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "counts": [total.tobytes()]})
 
 
 def token_levels(docs: DataFrame, k: int) -> np.ndarray:
     """For each counter of the sketch over all documents, its level as the upper 16 bits of sort keys."""
-    sums = docs.select("text").mapInArrow(lean(lambda it: _counted(it, k)), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    found = sums.toArrow()
-    counts = np.zeros(1 << SKETCH_BITS, np.float64)
-    counts[found["bucket"].to_numpy()] = found["n"].to_numpy()
-    return np.floor(32 * np.log2(1 + counts)).astype(np.uint64) << np.uint64(48)
+    parts = docs.select("text").mapInArrow(lean(lambda it: _counted(it, k)), "block int, width int, counts binary")
+    found = parts.repartition("block").mapInArrow(lean(_summed), "block int, counts binary").toArrow()
+    counts = np.zeros(((1 << SKETCH_BITS) // SKETCH_BLOCK, SKETCH_BLOCK), np.int64)
+    for block, total in zip(found["block"].to_pylist(), found["counts"].to_pylist(), strict=True):
+        counts[block] = np.frombuffer(total, np.int64)
+    return np.floor(32 * np.log2(1 + counts.reshape(-1))).astype(np.uint64) << np.uint64(48)
 
 
 def _class_of(tokens: np.ndarray) -> np.int64:
@@ -372,14 +386,16 @@ def jaccard_groups(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame
     share = spark.sparkContext.broadcast
     posted = some.agg(F.sum(F.size("p0"))).first()[0] or 0
     width = min(POSTING_BITS, max(16, math.ceil(math.log2(POSTING_SHARE * posted + 1))))
-    place = F.col("token").bitwiseAND(F.lit((1 << width) - 1)).cast("int")
-    counted = some.select(F.explode("p0").alias("token")).groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("n"))
-    often = counted.where("n > 1").select(F.shiftleft(F.col("place").cast("long"), 64 - width).alias("token"))
-    often = share(filter_bits(often, "token", width))
+    often = share(filter_bits(some, "p0", width, least=2, lower=True))
     postings = some.select("sid", "n", "p0").mapInArrow(lean(lambda it: _postings(it, often, width)), "token long, sid long, n long").distinct()
     postings = staged(postings, "postings")
+    # the prefixes take the most room, and are done with
+    often.destroy()
+    whole, rows = rows, staged(rows.drop("p0"), "rows")
+    discard(whole)
     shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
     listed = staged(postings.join(splittable(shared, "token"), "token"), "listed")
+    discard(postings)
 
     # order 1, short lists: the shared postings of a pair are counted
     long_ = listed.where(F.col("length") > SHORT_LIST)
